@@ -5,17 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowstream.llm.common import documents
+from rowstream.llm.mixing import mix_sources
 from rowstream.llm.order_minhash import fingerprint_documents
+from rowstream.llm.pii import pseudonymise
+from rowstream.llm.urlfilter import judge_urls
+
+#: The rules that op6 applies: host, path, verdict.
+URL_RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).drop("text_hash")
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_order_minhash": op4_order_minhash,
+    "op6_url_rules": op6_url_rules,
+    "op7_pareto_mix": op7_pareto_mix,
+    "op8_pseudonyms": op8_pseudonyms,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP6_SQL = """
+WITH u AS (
+  SELECT page_id,
+    translate(CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') ELSE '' END,
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+r(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+                      ('example.net', '/de/8', 'block'), ('org', '/es/', 'block'))
+SELECT u.page_id, coalesce(u.host, '') AS host, coalesce(u.path, '') AS path,
+  (SELECT max_by(h || p, length(h || p)) FROM r WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)) AS rule,
+  coalesce((SELECT max_by(v, length(h || p)) FROM r WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)), 'allow') AS verdict
+FROM u
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_rules": _OP6_SQL,
+}
