@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowstream.llm.common import documents
 from rowstream.llm.mixing import mix_sources
+from rowstream.llm.neardup import near_duplicates
 from rowstream.llm.order_minhash import fingerprint_documents
 from rowstream.llm.pii import pseudonymise
 from rowstream.llm.urlfilter import judge_urls
@@ -27,6 +28,10 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), k=4, percent=80)
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
@@ -42,6 +47,7 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_order_minhash": op4_order_minhash,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_url_rules": op6_url_rules,
     "op7_pareto_mix": op7_pareto_mix,
     "op8_pseudonyms": op8_pseudonyms,
@@ -62,6 +68,33 @@ SELECT u.page_id, coalesce(u.host, '') AS host, coalesce(u.path, '') AS path,
 FROM u
 """
 
+_OP5_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 3, 1) + 1), lambda i: array_to_string(words[i:i+3], ' '))) AS g
+  FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i
+  FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+r(a, c) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.a, l.b FROM r JOIN l ON l.a = r.c),
+c AS (SELECT a AS doc_id, min(c) AS component_id FROM r GROUP BY 1),
+k AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(gs)) AS class_id
+  FROM (SELECT doc_id, list(g) AS gs FROM s GROUP BY doc_id))
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept, coalesce(k.class_id, d.doc_id) AS class_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_near_duplicates": _OP5_SQL,
     "op6_url_rules": _OP6_SQL,
 }
