@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowstream.llm.common import documents
+from rowstream.llm.langid import identify_documents
 from rowstream.llm.mixing import mix_sources
 from rowstream.llm.neardup import near_duplicates
 from rowstream.llm.order_minhash import fingerprint_documents
 from rowstream.llm.pii import pseudonymise
+from rowstream.llm.tokens import count_tokens
 from rowstream.llm.urlfilter import judge_urls
 
 #: The rules that op6 applies: host, path, verdict.
@@ -24,6 +26,14 @@ URL_RULES = (
 )
 
 
+def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), rule="start")
+
+
+def op3_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(documents(spark, sf_dir))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
@@ -46,6 +56,8 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_attribution": op2_token_attribution,
+    "op3_language_filters": op3_language_filters,
     "op4_order_minhash": op4_order_minhash,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_url_rules": op6_url_rules,
