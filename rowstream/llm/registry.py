@@ -13,6 +13,7 @@ from rowstream.llm.mixing import mix_sources
 from rowstream.llm.neardup import near_duplicates
 from rowstream.llm.order_minhash import fingerprint_documents
 from rowstream.llm.pii import pseudonymise
+from rowstream.llm.quality import fit, rating, score
 from rowstream.llm.tokens import count_tokens
 from rowstream.llm.urlfilter import judge_urls
 
@@ -26,6 +27,17 @@ URL_RULES = (
 )
 
 
+#: Documents are selected by the chance of the highest grade.
+LEAST_TAIL = 0.5
+
+
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit(docs, rating(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    scored = score(docs, model).select("doc_id", "expected_grade", "tail_prob")
+    return scored.withColumn("selected", F.col("tail_prob") >= LEAST_TAIL)
+
+
 def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), rule="start")
 
@@ -56,6 +68,7 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ordinal_quality": op1_ordinal_quality,
     "op2_token_attribution": op2_token_attribution,
     "op3_language_filters": op3_language_filters,
     "op4_order_minhash": op4_order_minhash,
