@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowstream.llm.common import documents
+from rowstream.llm.decontam import contamination
 from rowstream.llm.langid import identify_documents
 from rowstream.llm.mixing import mix_sources
 from rowstream.llm.neardup import near_duplicates
@@ -67,6 +68,10 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
 
 
+def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_token_attribution": op2_token_attribution,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_rules": op6_url_rules,
     "op7_pareto_mix": op7_pareto_mix,
     "op8_pseudonyms": op8_pseudonyms,
+    "op10_qgram_decontamination": op10_qgram_decontamination,
 }
 
 _OP6_SQL = """
