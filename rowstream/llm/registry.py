@@ -13,6 +13,7 @@ from rowstream.llm.langid import identify_documents
 from rowstream.llm.mixing import mix_sources
 from rowstream.llm.neardup import near_duplicates
 from rowstream.llm.order_minhash import fingerprint_documents
+from rowstream.llm.passages import repeated_passages
 from rowstream.llm.pii import pseudonymise
 from rowstream.llm.quality import fit, rating, score
 from rowstream.llm.tokens import count_tokens
@@ -68,6 +69,10 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
 
 
+def op9_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_rules": op6_url_rules,
     "op7_pareto_mix": op7_pareto_mix,
     "op8_pseudonyms": op8_pseudonyms,
+    "op9_chained_passages": op9_chained_passages,
     "op10_qgram_decontamination": op10_qgram_decontamination,
 }
 
