@@ -89,3 +89,18 @@ def mix_sources(
     return both.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"), F.col("__source").alias("source"), "text_hash"
     )
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``copies`` and ``taken``; columns of those names are replaced.
+
+    Rows that repeat both id and text become one, with the copies of all.
+    """
+    mixed = mix_sources(docs, id_col=id_col, text_col=text_col, **options)
+    picked = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    picked = written(picked.agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.count("*").alias("__rows")), "mix-picked")
+    rows = docs.drop("copies", "taken").withColumn("__own", F.xxhash64(F.col(text_col)))
+    if not picked.where("__rows > 1").isEmpty():
+        rows = rows.dropDuplicates([id_col, "__own"])
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
+    return rows.join(picked, same).drop("__id", "__hash", "__own", "__rows")
