@@ -84,7 +84,7 @@ def mix_sources(
     edge = ranked.where(F.col("__more").isNull())
     done = F.col("__before") + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     edge = edge.withColumn("__more", F.when(done + F.col("size") / 2 <= F.col("__rest"), F.lit(1)).otherwise(F.lit(0)))
-    copies = F.col("__sure") + F.col("__more")
+    copies = F.when(F.col("size") > 0, F.col("__sure") + F.col("__more")).otherwise(F.lit(0))
     both = ranked.where(F.col("__more").isNotNull()).unionByName(edge)
     return both.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"), F.col("__source").alias("source"), "text_hash"
