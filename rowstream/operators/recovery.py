@@ -21,6 +21,13 @@ def gtid_ordinal(gtid: Column) -> Column:
     return F.element_at(F.split(gtid, ":"), 2).cast("long")
 
 
+def caught_up_gtid(latest: str) -> Column:
+    """The same by transaction: of one server, the ordinal is at or after the latest one's."""
+    own = F.col("position")["gtid"]
+    same = F.substring_index(own, ":", 1) == latest.partition(":")[0]
+    return F.coalesce(same & (gtid_ordinal(own) >= int(latest.partition(":")[2])), F.lit(False))
+
+
 def recovery_window(events: DataFrame, config: StreamConfig, stop: Column, order: tuple[str, ...] = ("log_file", "log_pos", "row_idx")) -> DataFrame:
     """The data events to replay: those up to the first supported statement (left out) or the first event that has
     caught up (kept), whichever comes first, and no more than the queue holds.
