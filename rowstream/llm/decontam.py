@@ -25,7 +25,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 from rowstream.llm import textscan
 
 Q = 10
-BUDGET = 0.06
+BUDGET = 0.08
 #: Characters of items in a block.
 BLOCK_CHARS = 4 << 20
 TABLE_BITS = 22
