@@ -327,6 +327,15 @@ def test_op9_finds_planted_passages(spark):
         assert abs(r.start_word - a) <= 4 and abs(r.end_word - b) <= 4 and r.equal_words >= 60
 
 
+def test_op9_repeats_within_both_texts(spark):
+    rng = random.Random(3)
+    block = [f"b{rng.randrange(10**6)}" for _ in range(25)]
+    rows = [(i, " ".join([f"u{i}"] * i + block * 4)) for i in (1, 2)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {w for r in got for w in range(r.start_word, r.end_word)}
+    assert covered == set(range(2, 102)) and {(r.doc_id, r.source_doc_id) for r in got} == {(2, 1)}
+
+
 def plain_chains(x, y, k, cost):
     n = len(x)
     score = [k] * n
