@@ -57,7 +57,9 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    names = ("host", "path", "verdict")
+    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule, strict=True)]) for rule in URL_RULES])
+    rules = spark.range(1).select(F.inline(rows))
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
