@@ -6,7 +6,7 @@ their inclusion odds, and each source takes them in that order up to its remaini
 the sample's size in words is fixed to within half a document.
 
 Nothing is ranked whole: words are first summed by source and by a slice of the rank key, the slice that holds the cut
-is found from those sums, and only that slice's documents are ordered.
+is found from those sums and sliced again, and only the last slice's documents are ordered.
 
 Defined results: a null text has no words and is never taken; sources are told apart with null as one of them; rows
 that repeat are ranked apart; a source without words has the target 0. Reruns agree: the random numbers are hashes of
@@ -22,7 +22,17 @@ from pyspark.sql import functions as F
 
 from rowstream.llm.common import n_words, written
 
-SLICES = 1 << 14
+#: Slices at each level; after all levels a slice holds a millionth of a source.
+SLICES, LEVELS = 1 << 10, 2
+
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    """For each source, the slice that its remaining words end in and the words before that slice."""
+    sums = rows.groupBy("__source", "__slice", "__rest", "__before").agg(F.sum("size").alias("__words"))
+    reached = F.sum("__words").over(Window.partitionBy("__source").orderBy("__slice")) + F.col("__before")
+    sums = sums.withColumn("__end", reached).withColumn("__reached", F.col("__end") - F.col("__words"))
+    cut = sums.where((F.col("__reached") <= F.col("__rest")) & (F.col("__end") > F.col("__rest")))
+    return cut.select(F.col("__source").alias("__at"), F.col("__slice").alias("__cut"), "__reached")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
@@ -68,18 +78,18 @@ def mix_sources(
     # ranking value: random odds over inclusion odds; its place on (0, 1) is even when scaled by the source's own odds
     ranked = ranked.withColumn("__rank", F.when(F.col("__chance") > 0, odds))
     even = F.col("__rank") * (F.col("__chance") / (1 - F.col("__chance")))
-    ranked = ranked.withColumn("__slice", F.least(F.floor(even / (1 + even) * SLICES), F.lit(SLICES - 1)))
-    in_play = ranked.where((F.col("__chance") > 0) & (F.col("size") > 0))
-    sums = in_play.groupBy("__source", "__slice", "__rest").agg(F.sum("size").alias("__words"))
-    upto = Window.partitionBy("__source").orderBy("__slice")
-    sums = sums.withColumn("__before", F.sum("__words").over(upto) - F.col("__words"))
-    cut = sums.where((F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("__words") > F.col("__rest")))
-    cut = written(cut.select(F.col("__source").alias("__at"), F.col("__slice").alias("__cut"), "__before"), "mix-cuts")
-
-    ranked = ranked.join(cut, F.col("__source").eqNullSafe(F.col("__at")), "left")
-    # no cut: the rest takes the whole source
-    placed = F.when(F.col("__rank").isNull() | (F.col("size") == 0), F.lit(0)).when(F.col("__cut").isNull() | (F.col("__slice") < F.col("__cut")), F.lit(1)).when(F.col("__slice") > F.col("__cut"), F.lit(0))
-    ranked = ranked.withColumn("__more", placed)
+    ranked = ranked.withColumn("__place", even / (1 + even) * SLICES)
+    in_play = F.col("__rank").isNotNull() & (F.col("size") > 0)
+    # null: not placed yet; what stands in the slice of the cut is placed by the next, finer level
+    ranked = ranked.withColumn("__more", F.when(~in_play, F.lit(0))).withColumn("__before", F.lit(0).cast("long"))
+    for level in range(LEVELS):
+        ranked = ranked.withColumn("__slice", F.least(F.floor("__place"), F.lit(SLICES - 1)))
+        cut = written(_cuts(ranked.where(F.col("__more").isNull())), f"mix-cuts-{level}")
+        ranked = ranked.join(cut, F.col("__source").eqNullSafe(F.col("__at")), "left")
+        # no cut: the rest takes all that is left of the source
+        side = F.when(F.col("__cut").isNull() | (F.col("__slice") < F.col("__cut")), F.lit(1)).when(F.col("__slice") > F.col("__cut"), F.lit(0))
+        ranked = ranked.withColumn("__more", F.coalesce("__more", side)).withColumn("__before", F.coalesce("__reached", "__before"))
+        ranked = ranked.withColumn("__place", (F.col("__place") - F.col("__slice")) * SLICES).drop("__at", "__cut", "__reached", "__slice")
     in_order = Window.partitionBy("__source").orderBy("__rank", "doc_id", "text_hash", "size")
     edge = ranked.where(F.col("__more").isNull())
     done = F.col("__before") + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
