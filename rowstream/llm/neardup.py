@@ -31,7 +31,7 @@ from rowstream.llm.common import written
 from rowstream.llm.graph import components
 
 BANDS, ROWS = 32, 4
-HUBS_A_ROUND = 4
+HUBS_A_ROUND = 2
 
 
 def shingle_sets(part: textscan.Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,31 +149,36 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scanned = written(texts.mapInArrow(_scan(k, bands, rows, False), "id long, n long, a long, b long, keys array<long>"), "shingles")
     same = ["n", "a", "b"]
-    classes = scanned.where("n > 0").groupBy(same).agg(F.min("id").alias("rep"))
+    classes = written(scanned.where("n > 0").groupBy(same).agg(F.min("id").alias("rep")), "reps")
     filed = written(scanned.drop("keys").join(classes, same, "left"), "classes")
 
     banded = scanned.where("n > 0").join(classes.where("rep is not null"), same).where("id = rep").select("id", "n", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # aggregates are written before they are joined, so that both sides of a join are dealt by it and hot keys can be split
+    shared = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = written(banded.join(shared, "key"), "members")
-    reach = members.groupBy("id").agg(F.sum("size").alias("reach"))
+    reach = written(members.groupBy("id").agg(F.sum("size").alias("reach")), "reach")
     sets = texts.join(reach.select("id"), "id", "left_semi").mapInArrow(_scan(k, bands, rows, True), "id long, n long, grams array<long>")
     sets = written(sets.dropDuplicates(["id"]) if _ids_repeat(texts) else sets, "sets")
 
     first = members.join(reach, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("reach", -F.col("id"))).alias("hub"))
+    first = written(first, "hubs")
     links = written(_linked(_edges(members, first, percent), sets, percent), "links")
     found = components(links, "x", "y")
     open_members = members.where("size > 2")
     turn = 0
     while True:
         turn += 1
-        placed = open_members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+        labelled = open_members.join(found, F.col("id") == F.col("node"), "left")
+        placed = written(labelled.select("key", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        mixed = written(mixed, "mixed")
         placed = written(placed.join(mixed, "key"), "placed")
         if placed.isEmpty():
             break
+        open_members = placed.select("key", "id", "n")  # a bucket that joins one component only is done with
         who = F.struct("id", "n", "component")
         drawn = placed.groupBy("key").agg(*[F.max_by(who, F.xxhash64(F.lit(turn * HUBS_A_ROUND + i), "key", "id")).alias(f"h{i}") for i in range(HUBS_A_ROUND)])
-        hubs = drawn.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS_A_ROUND)]))).alias("hub"))
+        hubs = written(drawn.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS_A_ROUND)]))).alias("hub")), "hubs")
         new = written(_linked(_edges(placed, hubs, percent), sets, percent), "links")
         if new.isEmpty():
             break
