@@ -8,7 +8,8 @@ Texts with equal sets form a class, told by 128 bits and the size, and go on as
 are each compared with its hub only, so a bucket gives as many candidate pairs as it has members. The first hub is the
 member that shares buckets with most others, which is the source of a group of edited copies. Buckets that still join
 several components are then compared with further hubs, drawn afresh in every bucket and round, until a round finds no
-new link. Every link is confirmed on the full sets.
+new link. In the buckets that are mixed even then, every two members of different components are compared, in pairs of
+blocks, so no two texts that share a bucket go uncompared. Every link is confirmed on the full sets.
 
 With 32 bands of 4, a pair at the limit of 0.8 shares no bucket once in 2 * 10^7 pairs.
 
@@ -32,6 +33,10 @@ from rowstream.llm.graph import components
 
 BANDS, ROWS = 32, 4
 HUBS_A_ROUND = 2
+#: Members of a mixed bucket are compared in pairs of blocks of about so many.
+BLOCK = 512
+#: Columns of the incidence matrix held at a time.
+COLUMNS = 4096
 
 
 def shingle_sets(part: textscan.Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +145,83 @@ def _edges(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(sizes).select(F.least(hub["id"], F.col("id")).alias("x"), F.greatest(hub["id"], F.col("id")).alias("y")).distinct()
 
 
+def alike(component: np.ndarray, side: np.ndarray, grams: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Rows (x, y), x < y, of components with members whose sets are alike. If both sides (booleans) occur, members of
+    the one are compared with those of the other, else all with all."""
+    n = np.diff(at)
+    owner = np.repeat(np.arange(len(n)), n)
+    _, code, count = np.unique(grams, return_inverse=True, return_counts=True)
+    column = (np.cumsum(count > 1) - 1)[code]
+    some = count[code] > 1
+    owner, column = owner[some], column[some]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    left = np.flatnonzero(~side)
+    right = np.flatnonzero(side)
+    if not len(left) or not len(right):
+        left = right = np.arange(len(n))
+    common = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        table = np.zeros((len(n), min(COLUMNS, int(column[b - 1]) - low + 1)), np.float32)
+        table[owner[a:b], column[a:b] - low] = 1
+        common += table[left] @ table[right].T
+    common = common.astype(np.int64)
+    near = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+    i, j = np.nonzero(near & (component[left][:, None] != component[right][None, :]))
+    x, y = component[left][i], component[right][j]
+    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+
+
+def _compare(percent: int):
+    """Rows come sorted by (key, i, j), a pair of a bucket's blocks; a group may go on in the next batch."""
+
+    def found(rows: pa.Table) -> np.ndarray:
+        lists = rows.column("grams").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        at = np.asarray(lists.offsets).astype(np.int64)
+        grams = np.asarray(lists.values)[at[0] : at[-1]].view(np.uint64)
+        return alike(np.asarray(rows.column("component")), np.asarray(rows.column("side")), grams, at - at[0], percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            if not rows.num_rows:
+                continue
+            group = np.stack([np.asarray(rows.column(c)) for c in ("key", "i", "j")])
+            cuts = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1])
+            out = [found(rows.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            kept = rows.slice(cuts[-1])
+            yield from _pairs(out)
+        if kept is not None and kept.num_rows:
+            yield from _pairs([found(kept)])
+
+    return run
+
+
+def _pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if found:
+        both = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["x", "y"])
+
+
+def _rest(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between components, from comparing all members of every bucket of ``placed``."""
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
+    # buckets with the same members are compared once
+    buckets = placed.groupBy("key").agg(F.count("*").alias("size"), *marks).groupBy("size", "m0", "m1").agg(F.min("key").alias("key"))
+    buckets = written(buckets.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "buckets")
+    dealt = placed.join(buckets, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(-1), "id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    dealt = written(dealt.select("key", "id", "component", low.alias("i"), high.alias("j"), (F.col("own") > F.col("other")).alias("side")), "dealt")
+    whole = dealt.join(sets.select("id", "grams"), "id").select("key", "i", "j", "component", "side", "grams")
+    ordered = whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return written(ordered.mapInArrow(_compare(percent), "x long, y long").distinct(), "links")
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -181,6 +263,7 @@ def near_duplicates(
         hubs = written(drawn.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS_A_ROUND)]))).alias("hub")), "hubs")
         new = written(_linked(_edges(placed, hubs, percent), sets, percent), "links")
         if new.isEmpty():
+            found = components(links.union(_rest(placed, sets, percent)), "x", "y")
             break
         links = links.union(new)
         found = components(links, "x", "y")

@@ -201,6 +201,34 @@ def test_op5_chains_and_groups(spark, k):
     assert got == plain_components(texts, k)
 
 
+def test_op5_links_in_mixed_buckets(spark):
+    rng = random.Random(5)
+    form = [f"f{i}" for i in range(103)]
+    texts = {}
+    for i in range(200):  # two texts of a form are alike to 0.68, the two of each of the first 40 pairs to 0.84
+        pair = i // 2 if i < 80 else i
+        own = [f"p{pair}-{j}" if i < 80 else f"p-{i}-{j}" for j in range(13)]
+        texts[i] = " ".join(form + own + [f"q{rng.randrange(10**9)}" for _ in range(11)])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(rows, bands=4, rows=1).collect()}  # few, large buckets
+    assert got == {i: i // 2 * 2 if i < 80 else i for i in texts}
+
+
+def test_op5_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(neardup, "COLUMNS", 16)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60))).astype(np.uint64) for _ in range(80)]
+    component, at = np.arange(80) // 3 * 3, np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    for side in (np.zeros(80, bool), np.arange(80) % 3 == 1):
+        expect = set()
+        for i in range(80):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if (not side.any() or side[i] != side[j]) and component[i] != component[j] and 100 * common >= 30 * (len(sets[i]) + len(sets[j]) - common):
+                    expect.add((component[j], component[i]))
+        assert expect and {tuple(r) for r in neardup.alike(component, side, np.concatenate(sets), at, 30)} == expect
+
+
 def test_op5_densified_signatures():
     rng = np.random.default_rng(2)
     match = []
