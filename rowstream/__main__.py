@@ -25,6 +25,7 @@ def main(args: list[str] | None = None) -> int:
     stream = commands.add_parser("stream", help="tail a capture and publish its messages")
     for name in ("log", "topics", "state", "checkpoint"):
         stream.add_argument(name)
+    stream.add_argument("--force", action="store_true", help="take over from a writer that was killed")
     stream.add_argument("--once", action="store_true", help="stop when all that is there is published")
     beat = commands.add_parser("heartbeat", help="find the place of a heartbeat")
     beat.add_argument("log")
@@ -38,11 +39,15 @@ def main(args: list[str] | None = None) -> int:
         row = found.select(printable(F.col("hb_serial"), F.col("hb_timestamp"), F.col("log_file"), F.col("log_pos")).alias("text")).first()
         print(row["text"] if row else "no such heartbeat")
         return 0 if row else 1
-    change = ChangeStream(spark, config, StateStore(spark, given.state), given.topics)
-    query = change.start(captured(spark, given.log, stream=True), given.checkpoint, once=given.once)
-    signal.signal(signal.SIGTERM, lambda *_: change.stop(query))
-    query.awaitTermination()
-    change.stop(query)
+    store = StateStore(spark, given.state)
+    if given.force:
+        store.unlock(config.cluster)
+    with store.writing(config.cluster):
+        change = ChangeStream(spark, config, store, given.topics)
+        query = change.start(captured(spark, given.log, stream=True), given.checkpoint, once=given.once, log=captured(spark, given.log))
+        signal.signal(signal.SIGTERM, lambda *_: change.stop(query))
+        query.awaitTermination()
+        change.stop(query)
     return 0
 
 

@@ -104,3 +104,44 @@ def transformed(value: Column, source_type: str) -> Column:
 def project(image: Column, column_types: Mapping[str, str]) -> Column:
     """An image with every column in its message form, in the table's order."""
     return F.struct(*[transformed(image[name], kind).alias(name) for name, kind in column_types.items()])
+
+
+# --- images as JSON ------------------------------------------------------------------------------------------------
+
+
+def time_text_to_micros(text: Column) -> Column:
+    """Microseconds of a time such as -101:02:03.5; null if it is none."""
+    form = r"^(-?)(\d+):(\d{1,2}):(\d{1,2})(?:\.(\d{1,6}))?$"
+    part = lambda i: F.regexp_extract(text, form, i)
+    whole = (part(2).cast("long") * 3600 + part(3).cast("long") * 60 + part(4).cast("long")) * 1_000_000
+    micros = whole + F.rpad(part(5), 6, "0").cast("long")
+    return F.when(text.rlike(form), F.when(part(1) == "-", -micros).otherwise(micros))
+
+
+def _quoted(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def transformed_json(value: Column, source_type: Column) -> Column:
+    """The message form, as JSON, of a JSON value (a variant) of a column of that type: members of a set as a list,
+    timestamps in UTC and datetimes in ISO 8601, times in microseconds. Other values, and those that can't be read as
+    their type, stay as they are."""
+    text, kind = value.cast("string"), F.lower(source_type)
+    moment = text.try_cast("timestamp_ntz")
+    iso = datetime_to_iso(moment)
+    return F.coalesce(
+        F.when(value.isNull() | text.isNull(), F.lit("null"))
+        .when(kind.startswith("set"), F.to_json(set_to_list(text)))
+        .when(kind.startswith("timestamp"), _quoted(F.concat(iso, F.lit("+00:00"))))
+        .when(kind.startswith("datetime"), _quoted(iso))
+        .when(kind.startswith("time"), time_text_to_micros(text).cast("string")),
+        F.to_json(value),
+    )
+
+
+def project_json(image: Column, column_types: Column) -> Column:
+    """An image (a JSON object) with every value in its message form; columns that the types don't know stay as they are."""
+    values = F.map_entries(F.from_json(image, "map<string,variant>"))
+    pairs = F.transform(values, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), transformed_json(e["value"], F.element_at(column_types, e["key"]))))
+    return F.when(column_types.isNull(), image).otherwise(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))

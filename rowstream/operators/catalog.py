@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowstream.config import StreamConfig
-from rowstream.functions.ddl import ddl_renames
+from rowstream.functions.ddl import parse
+from rowstream.functions.replay import Table, apply
 from rowstream.functions.types import is_transformed, transform_map
 from rowstream.operators.filters import drop_blacklisted, resolved_db, schema_events
 
@@ -29,6 +33,17 @@ def table_exists(catalog: DataFrame, db: str, tbl: str) -> bool:
     return not catalog.where((F.col("db") == db) & (F.col("tbl") == tbl)).limit(1).isEmpty()
 
 
+def create_statements(columns: DataFrame) -> DataFrame:
+    """db, tbl and the statement that makes the table, with its columns in order and its primary key."""
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal_position", "column_name", "column_type", "column_key")))
+    tables = columns.groupBy("db", "tbl").agg(ordered.alias("cols"))
+    quoted = lambda c: F.concat(F.lit("`"), c["column_name"], F.lit("`"))
+    entries = F.transform("cols", lambda c: F.concat(quoted(c), F.lit(" "), c["column_type"]))
+    key = F.transform(F.filter("cols", lambda c: c["column_key"] == "PRI"), quoted)
+    key = F.when(F.size(key) > 0, F.array(F.concat(F.lit("PRIMARY KEY ("), F.array_join(key, ", "), F.lit(")")))).otherwise(F.array().cast("array<string>"))
+    return tables.select("db", "tbl", F.concat(F.lit("CREATE TABLE `"), F.col("tbl"), F.lit("` ("), F.array_join(F.concat(entries, key), ", "), F.lit(")")).alias("query"))
+
+
 def show_create(tables: DataFrame, wanted: DataFrame) -> DataFrame:
     """The statement of each wanted table (db, tbl); empty where there is none. ``tables``: db, tbl, query."""
     return wanted.join(tables.select("db", "tbl", "query"), ["db", "tbl"], "left").withColumn("query", F.coalesce("query", F.lit("")))
@@ -57,16 +72,51 @@ def table_metadata(columns: DataFrame, keys: DataFrame) -> DataFrame:
     return cols.join(primary, ["db", "tbl"], "left")
 
 
-def schema_versions(events: DataFrame, config: StreamConfig) -> DataFrame:
-    """A version for each statement that changes a table: db, tbl, schema_id, from_file, from_pos, ddl_kind, renames.
+def schema_versions(events: DataFrame, config: StreamConfig, base: DataFrame | None = None) -> DataFrame:
+    """A version for each table that a statement makes, changes, renames or drops: db, tbl, schema_id, from_file,
+    from_pos, ddl_kind, renames, query, column_types (in order; null once dropped) and primary_key.
 
-    Versions hold from their place in the log on, so none is ever stale. Ids are dense by table in log order, and named
-    by the namespace they belong to.
+    Statements are carried out in log order on the tables of ``base`` (db, tbl, column_types, primary_key), which are
+    their first versions. Versions hold from their place in the log on, so none is ever stale; a table that is renamed
+    gives its columns to a version of the new name. Ids are dense by table. Renames link tables, so the statements (not
+    the row events) go through one task, which holds the present tables only.
     """
-    ddl = schema_events(drop_blacklisted(events, config)).where(F.col("ddl_kind").isin("create_table", "alter_table", "drop_table"))
-    placed = ddl.select(resolved_db(F.col("db"), F.col("query")).alias("db"), F.col("target.tbl").alias("tbl"), F.col("log_file").alias("from_file"), F.col("log_pos").alias("from_pos"), "ddl_kind", ddl_renames(F.col("query")).alias("renames"), "query")
-    by_table = Window.partitionBy("db", "tbl").orderBy("from_file", "from_pos")
-    return placed.where("tbl is not null").withColumn("schema_id", F.row_number().over(by_table).cast("int"))
+    ddl = schema_events(drop_blacklisted(events, config))
+    names = "db string, tbl string, log_file string, log_pos long, ddl_kind string, query string, column_types map<string,string>, primary_key array<string>"
+    rows = ddl.select(
+        resolved_db(F.col("db"), F.col("query")).alias("db"), F.lit(None).cast("string").alias("tbl"), "log_file", F.col("log_pos").cast("long").alias("log_pos"), "ddl_kind", "query",
+        F.lit(None).cast("map<string,string>").alias("column_types"), F.lit(None).cast("array<string>").alias("primary_key"),
+    )
+    if base is not None:
+        first = base.select("db", "tbl", F.lit("").alias("log_file"), F.lit(-1).cast("long").alias("log_pos"), F.lit("base").alias("ddl_kind"), F.lit(None).cast("string").alias("query"), "column_types", "primary_key")
+        rows = first.unionByName(rows)
+    schema = names.replace("log_file", "from_file").replace("log_pos", "from_pos") + ", schema_id int, renames boolean"
+    ordered = rows.repartition(1).sortWithinPartitions("log_file", "log_pos", "db", "tbl")
+    return ordered.mapInArrow(_replay, schema).select("db", "tbl", "schema_id", "from_file", "from_pos", "ddl_kind", "renames", "query", "column_types", "primary_key")
+
+
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tables: dict[tuple[str, str], Table] = {}
+    ids: dict[tuple[str, str], int] = {}
+    schema = pa.schema([
+        ("db", pa.string()), ("tbl", pa.string()), ("from_file", pa.string()), ("from_pos", pa.int64()), ("ddl_kind", pa.string()), ("query", pa.string()),
+        ("column_types", pa.map_(pa.string(), pa.string())), ("primary_key", pa.list_(pa.string())), ("schema_id", pa.int32()), ("renames", pa.bool_()),
+    ])
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if r["query"] is None:
+                name = (r["db"], r["tbl"])
+                tables[name] = Table(dict(r["column_types"] or []), list(r["primary_key"] or []))
+                changed, renames = [name], False
+            else:
+                changed, renames = apply(tables, r["db"], r["query"]), parse(r["query"]).renames
+            for name in changed:
+                ids[name] = ids.get(name, 0) + 1
+                table = tables.get(name)
+                out.append((*name, r["log_file"], r["log_pos"], r["ddl_kind"], r["query"], list(table.columns.items()) if table else None, table.key if table else None, ids[name], renames))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
 def with_schema_version(events: DataFrame, versions: DataFrame) -> DataFrame:
@@ -91,6 +141,11 @@ def with_schema_version(events: DataFrame, versions: DataFrame) -> DataFrame:
     return rows.join(spans, carried, "left").withColumn("schema_id", F.coalesce("__seen", "__end")).drop("__v", "__is", "__seen", "__db", "__tbl", "__file", "__next", "__end")
 
 
+def with_definition(events: DataFrame, versions: DataFrame) -> DataFrame:
+    """Events with a version (``schema_id``), and that version's column_types and primary_key."""
+    return events.join(versions.select("db", "tbl", "schema_id", "column_types", "primary_key"), ["db", "tbl", "schema_id"], "left")
+
+
 def register(versions: DataFrame, config: StreamConfig) -> DataFrame:
     """Registry entries: namespace, source, schema id, and whether old and altering statements belong to them. A dry run
     gives every table the id 1."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowstream.config import StreamConfig
-from rowstream.functions.types import project
+from rowstream.functions.types import project_json
 from rowstream.operators.filters import data_events, drop_blacklisted
 
 
@@ -21,9 +21,11 @@ def topic(environment: str, cluster: str, db: Column, tbl: Column) -> Column:
     return F.concat_ws(".", namespace(environment, cluster, db), tbl)
 
 
-def message_key(payload: Column, primary_keys: Sequence[str]) -> Column:
-    """The primary key's values as JSON; tables without one have no key."""
-    return F.to_json(F.struct(*[payload[k].alias(k) for k in primary_keys])) if primary_keys else F.lit(None).cast("string")
+def message_key(image: Column, primary_key: Column) -> Column:
+    """The primary key's columns of an image (a JSON object), as JSON; tables without one have no key."""
+    values = F.from_json(image, "map<string,variant>")
+    some = image.isNotNull() & (F.size(primary_key) > 0)
+    return F.when(some, F.to_json(F.map_filter(values, lambda k, _: F.array_contains(primary_key, k))))
 
 
 def log_transaction(cluster: str, log_file: Column, log_pos: Column) -> Column:
@@ -43,27 +45,25 @@ def upstream_position(config: StreamConfig) -> Column:
     return F.struct(F.col("position"), F.lit(config.logical_cluster).alias("cluster_name"), F.col("db").alias("database_name"), F.col("tbl").alias("table_name"))
 
 
-def envelope(events: DataFrame, config: StreamConfig, payload: Column, previous: Column, schema_id: Column, keep: Sequence[str] = ()) -> DataFrame:
-    """One message for each data event; ``previous`` is kept for updates only."""
+def envelope(events: DataFrame, config: StreamConfig, payload: Column, previous: Column, schema_id: Column, keep: Sequence[str] = (), keys: Column | None = None) -> DataFrame:
+    """One message for each data event; ``previous`` is kept for updates only. ``keys`` name the row; a column
+    ``has_pii`` of the events goes with the message."""
     return events.select(
         *keep,
         "message_type",
         topic(config.environment, config.logical_cluster, F.col("db"), F.col("tbl")).alias("topic"),
         schema_id.cast("int").alias("schema_id"),
+        (F.lit(None).cast("string") if keys is None else keys).alias("keys"),
         payload.alias("payload_data"),
         F.when(F.col("message_type") == "update", previous).alias("previous_payload_data"),
         upstream_position(config).alias("upstream_position_info"),
+        (F.col("has_pii") if "has_pii" in events.columns else F.lit(False)).alias("contains_pii"),
         F.lit(config.publish_dry_run).alias("dry_run"),
         F.col("ts_epoch").alias("timestamp"),
         F.array(transaction(config)).alias("meta"),
     )
 
 
-def typed_payload(image: Column, column_types: dict[str, str]) -> Column:
-    """A parsed image of one table with all values in message form."""
-    return project(image, column_types)
-
-
 def changelog_payload(db: Column, tbl: Column, image: Column) -> Column:
     """The short form: where the row is and its ``id``, which the table must have. ``image`` is JSON."""
     found = F.get_json_object(image, "$.id")
@@ -72,19 +72,26 @@ def changelog_payload(db: Column, tbl: Column, image: Column) -> Column:
     return F.struct(db.alias("table_schema"), tbl.alias("table_name"), key.alias("id"))
 
 
-def data_messages(events: DataFrame, config: StreamConfig, versions: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """The data handler: blacklist, schema version, envelope. Images stay JSON, as tables are mixed; in changelog mode
-    they are reduced to the short form under one fixed schema."""
+def data_messages(events: DataFrame, config: StreamConfig, versions: DataFrame | None = None, keep: Sequence[str] = (), pii: DataFrame | None = None) -> DataFrame:
+    """The data handler: blacklist, schema version, typed payload, envelope.
+
+    With ``versions``, images are brought into message form by the columns that their table has at their place in the
+    log, and messages carry its primary key; without, they stay as they are. In changelog mode they are reduced to the
+    short form under one fixed schema. ``pii`` lists the tables (db, tbl) whose messages hold personal data.
+    """
     rows = data_events(drop_blacklisted(events, config))
+    rows = rows if pii is None else with_pii_flag(rows, pii)
+    after, before = F.col("after_image"), F.col("before_image")
     if config.changelog_mode:
         short = lambda image: F.to_json(changelog_payload(F.col("db"), F.col("tbl"), image))
-        return envelope(rows, config, short(F.col("after_image")), short(F.col("before_image")), F.lit(1), keep)
-    schema_id = F.lit(1)
-    if versions is not None:
-        from rowstream.operators.catalog import with_schema_version
+        return envelope(rows, config, short(after), short(before), F.lit(1), keep)
+    if versions is None:
+        return envelope(rows, config, after, before, F.lit(1), keep)
+    from rowstream.operators.catalog import with_definition, with_schema_version
 
-        rows, schema_id = with_schema_version(rows, versions), F.col("schema_id")
-    return envelope(rows, config, F.col("after_image"), F.col("before_image"), schema_id, keep)
+    rows = with_definition(with_schema_version(rows, versions), versions)
+    types, key = F.col("column_types"), message_key(F.coalesce(after, before), F.col("primary_key"))
+    return envelope(rows, config, project_json(after, types), project_json(before, types), F.col("schema_id"), keep, key)
 
 
 def with_pii_flag(events: DataFrame, listed: DataFrame) -> DataFrame:
@@ -103,6 +110,6 @@ def unpublished(replay: DataFrame, published: DataFrame, on: Sequence[str]) -> D
     return replay.join(published.select(*on), list(on), "left_anti")
 
 
-def write_topics(messages: DataFrame, path: str, batch: int) -> None:
-    """Publish one batch: its folder is replaced, so a repeated batch changes nothing."""
-    messages.write.mode("overwrite").partitionBy("topic").parquet(f"{path}/batch={batch}")
+def write_topics(messages: DataFrame, path: str, batch: int, run: str = "direct") -> None:
+    """Publish one batch of a run: its folder is replaced, so a repeated batch changes nothing."""
+    messages.write.mode("overwrite").partitionBy("topic").parquet(f"{path}/run={run}/batch={batch}")

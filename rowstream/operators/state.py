@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowstream.schema import CHECKPOINT, GLOBAL_STATE, SCHEMA_DUMP
+from rowstream.schema import CHECKPOINT, GLOBAL_STATE, SCHEMA_DUMP, STATEMENT
 
 
 def upsert_global_state(current: DataFrame, changes: DataFrame) -> DataFrame:
@@ -41,24 +43,29 @@ def offsets_map(checkpoints: DataFrame) -> DataFrame:
 
 
 class StateStore:
-    """State tables in a folder. A save writes a new generation and then a pointer to it, so readers see a whole
-    generation or the one before; nothing is changed in place."""
+    """State tables in a folder. A save writes a new generation and then a pointer to it under the next number; readers
+    take the pointer of the highest number. Nothing is changed in place, so a failure at any point leaves the generation
+    before, and of two writers that save at once one fails."""
 
-    SCHEMAS = {"global_state": GLOBAL_STATE, "checkpoints": CHECKPOINT, "dumps": SCHEMA_DUMP}
+    SCHEMAS = {"global_state": GLOBAL_STATE, "checkpoints": CHECKPOINT, "dumps": SCHEMA_DUMP, "statements": STATEMENT}
+    #: Pointers that are kept.
+    KEPT = 3
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return jvm, where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _fs(self):
+        sc = self.spark.sparkContext
+        make = lambda name: sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return make, make("x").getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def _pointers(self) -> list[str]:
+        make, fs = self._fs()
+        return sorted(f.getPath().getName() for f in fs.globStatus(make("CURRENT-[0-9]*")) or [])
 
     def generations(self) -> dict[str, str]:
-        _, where, fs = self._pointer()
-        if not fs.exists(where):
-            return {}
-        return json.loads(self.spark.read.text(where.toString(), wholetext=True).first()[0])
+        pointers = self._pointers()
+        return json.loads(self.spark.read.text(f"{self.path}/{pointers[-1]}", wholetext=True).first()[0]) if pointers else {}
 
     def read(self, table: str) -> DataFrame:
         name = self.generations().get(table)
@@ -67,26 +74,52 @@ class StateStore:
 
     def save(self, **tables: DataFrame) -> None:
         """Replace the named tables together: all of them, or none if this fails."""
+        pointers, known = self._pointers(), self.generations()
         names = {t: f"{t}-{uuid.uuid4().hex}" for t in tables}
         for t, df in tables.items():
             df.write.parquet(f"{self.path}/{names[t]}")
-        jvm, where, fs = self._pointer()
-        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT-{uuid.uuid4().hex}")
-        stream = fs.create(fresh)
-        stream.write(bytearray(json.dumps(self.generations() | names).encode()))
+        make, fs = self._fs()
+        fresh = make(f"NEXT-{uuid.uuid4().hex}")
+        stream = fs.create(fresh, False)
+        stream.write(bytearray(json.dumps(known | names).encode()))
         stream.close()
-        fs.delete(where, False)
-        if not fs.rename(fresh, where):
-            raise OSError(f"{where.toString()} can't be replaced")
+        last = int(pointers[-1].rpartition("-")[2]) if pointers else 0
+        where = make(f"CURRENT-{last + 1:016d}")
+        if fs.exists(where) or not fs.rename(fresh, where):
+            raise OSError(f"{where.toString()} was written by another")
+        for old in pointers[: -self.KEPT]:
+            fs.delete(make(old), False)
+
+    @contextmanager
+    def writing(self, cluster: str) -> Iterator[None]:
+        """Only one writer for a cluster at a time. What a killed writer leaves is removed by :meth:`unlock`."""
+        make, fs = self._fs()
+        lock = make(f"LOCK-{cluster}")
+        try:
+            fs.create(lock, False).close()
+        except Exception as e:
+            raise RuntimeError(f"{cluster} has a writer, by {lock.toString()}") from e
+        try:
+            yield
+        finally:
+            fs.delete(lock, False)
+
+    def unlock(self, cluster: str) -> None:
+        make, fs = self._fs()
+        fs.delete(make(f"LOCK-{cluster}"), False)
 
     # --- what a stream keeps ---------------------------------------------------------------------------------------
 
-    def save_position(self, cluster: str, position: str | None, offsets: dict[str, int], now: int, clean: bool = False, event_type: str = "data_event", db: str | None = None, tbl: str | None = None) -> None:
-        """State and topic offsets in one generation. Without a published position there is nothing to save."""
+    def save_position(self, cluster: str, position: str | None, offsets: dict[str, int], now: int, clean: bool = False, event_type: str = "data_event", db: str | None = None, tbl: str | None = None, statements: DataFrame | None = None) -> None:
+        """State, topic offsets and the schema statements read so far, in one generation. Without a published position
+        there are statements only to save."""
+        more = {} if statements is None else {"statements": statements}
         if position is None:
+            if more:
+                self.save(**more)
             return
         state = self.spark.createDataFrame([(cluster, position, clean, event_type, db, tbl, now)], GLOBAL_STATE)
-        made = {"global_state": upsert_global_state(self.read("global_state"), state)}
+        made = more | {"global_state": upsert_global_state(self.read("global_state"), state)}
         if offsets:
             changes = self.spark.createDataFrame([(cluster, t, o) for t, o in sorted(offsets.items())], "cluster_name string, topic string, topic_offset long")
             made["checkpoints"] = upsert_offsets(self.read("checkpoints"), changes, F.lit(now))
@@ -102,6 +135,14 @@ class StateStore:
         row = offsets_map(self.read("checkpoints").where(F.col("cluster_name") == cluster)).first()
         return dict(row["offsets"]) if row else {}
 
+    def statements(self, cluster: str) -> DataFrame:
+        return self.read("statements").where(F.col("cluster_name") == cluster)
+
+    def latest_checkpoint(self, cluster: str):
+        """The topic offset that changed last, or None."""
+        rows = self.read("checkpoints").where(F.col("cluster_name") == cluster).orderBy(F.desc("time_updated"), F.desc("time_created"), "topic")
+        return rows.first()
+
     def dump_exists(self, cluster: str) -> bool:
         return not self.read("dumps").where(F.col("cluster_name") == cluster).limit(1).isEmpty()
 

@@ -343,30 +343,11 @@ def date_helpers(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_POSITIONED} SELECT seq, message_type, 'main.source.' || db || '.' || base AS topic, 1 AS schema_id,
-CASE WHEN kind = 'delete' THEN NULL ELSE user_id END AS payload_id, CASE WHEN message_type = 'update' THEN user_id END AS previous_id,
-pos_file AS up_file, pos_log_pos AS up_pos, pos_offset AS up_offset, 'source' AS cluster_name, db AS database_name, base AS table_name,
-false AS dry_run, (epoch_us(ts) // 1000000) AS timestamp, pos_file AS meta_file, pos_log_pos AS meta_pos
+    f"""WITH {_POSITIONED} SELECT seq, message_type, db AS table_schema, base AS table_name, CASE WHEN kind <> 'delete' THEN user_id::INT END AS id, CASE WHEN message_type = 'update' THEN user_id::INT END AS previous_id
 FROM positioned WHERE kind <> 'query' AND db <> 'mysql'"""
 )
-def message_envelope(spark, sf_dir):
-    m = messages.data_messages(positioned(spark, sf_dir), CONFIG, keep=("seq",))
-    up, p = F.col("upstream_position_info"), F.col("upstream_position_info.position")
-    key = lambda c: F.get_json_object(c, "$.id").cast("long")
-    return m.select(
-        "seq", "message_type", "topic", "schema_id", key("payload_data").alias("payload_id"), key("previous_payload_data").alias("previous_id"),
-        p["log_file"].alias("up_file"), p["log_pos"].alias("up_pos"), p["offset"].alias("up_offset"), up["cluster_name"].alias("cluster_name"), up["database_name"].alias("database_name"),
-        up["table_name"].alias("table_name"), "dry_run", "timestamp", F.col("meta")[0]["log_file"].alias("meta_file"), F.col("meta")[0]["log_pos"].alias("meta_pos"),
-    )
-
-
-@query(
-    f"""WITH {_POSITIONED} SELECT seq, message_type, db AS table_schema, base AS table_name, user_id::INT AS id, CASE WHEN message_type = 'update' THEN user_id::INT END AS previous_id
-FROM positioned WHERE kind IN ('write', 'update') AND db <> 'mysql'"""
-)
 def changelog_message(spark, sf_dir):
-    events = positioned(spark, sf_dir).where(F.col("kind").isin("write", "update"))
-    m = messages.data_messages(events, CONFIG.with_(changelog_mode=True), keep=("seq",))
+    m = messages.data_messages(positioned(spark, sf_dir), CONFIG.with_(changelog_mode=True), keep=("seq",))
     p = F.from_json("payload_data", "table_schema string, table_name string, id int")
     b = F.from_json("previous_payload_data", "table_schema string, table_name string, id int")
     return m.select("seq", "message_type", p["table_schema"].alias("table_schema"), p["table_name"].alias("table_name"), p["id"].alias("id"), b["id"].alias("previous_id"))
@@ -385,7 +366,7 @@ def global_transaction_id(spark, sf_dir):
 def topic_and_key(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     row = F.struct("o_orderkey", "o_custkey")
-    return o.select("o_orderkey", messages.topic("main", "source", F.lit("shop"), F.lit("orders")).alias("topic"), messages.message_key(row, ["o_orderkey"]).alias("key"))
+    return o.select("o_orderkey", messages.topic("main", "source", F.lit("shop"), F.lit("orders")).alias("topic"), messages.message_key(F.to_json(row), F.array(F.lit("o_orderkey"))).alias("key"))
 
 
 @query("SELECT c_custkey, c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AS has_pii FROM customer")
@@ -397,9 +378,23 @@ def pii_flag(spark, sf_dir):
 
 # --- schema history ------------------------------------------------------------------------------------------------
 
-_VERSIONS_SQL = """v AS (SELECT seq, log_file, log_pos, 'shop' AS db, 't1' AS tbl, row_number() OVER (ORDER BY seq) AS schema_id,
-  CASE WHEN starts_with(query, 'ALTER') THEN 'alter_table' ELSE 'create_table' END AS ddl_kind
-  FROM sim WHERE kind = 'query' AND db = 'shop' AND (starts_with(query, 'ALTER') OR starts_with(query, 'CREATE')))"""
+_VERSIONS_SQL = """v AS (SELECT *, row_number() OVER (PARTITION BY tbl ORDER BY seq) AS schema_id FROM (
+  SELECT seq, log_file, log_pos, 'shop' AS db, 't' || (CASE WHEN starts_with(query, 'RENAME') THEN user_id + 1 ELSE user_id END) % 5 AS tbl,
+    lower(split_part(query, ' ', 1)) || '_table' AS ddl_kind
+  FROM sim WHERE kind = 'query' AND db = 'shop' AND query NOT IN ('BEGIN', 'USE shop')))"""
+#: The columns of the five tables after each statement, as one text a table, carried from statement to statement.
+_REPLAY_SQL = """ddl AS (SELECT seq, user_id % 5 AS u, left(query, 1) AS k, row_number() OVER (ORDER BY seq) AS n FROM sim
+  WHERE kind = 'query' AND db = 'shop' AND query NOT IN ('BEGIN', 'USE shop')),
+h(n, seq, tbl, s) AS (
+  SELECT 0::BIGINT, -1::BIGINT, NULL::VARCHAR, [NULL, NULL, NULL, NULL, NULL]::VARCHAR[]
+  UNION ALL
+  SELECT d.n, d.seq, 't' || (CASE WHEN d.k = 'R' THEN d.u + 1 ELSE d.u END) % 5, list_transform([0, 1, 2, 3, 4], lambda i:
+    CASE WHEN d.k = 'C' AND i = d.u THEN 'id int,value double,at datetime(6),tags set(''a'',''b''),took time(1)'
+         WHEN d.k = 'A' AND i = d.u THEN coalesce(nullif(h.s[d.u + 1], '') || ',', '') || 'c' || d.seq || ' int'
+         WHEN d.k = 'R' AND i = (d.u + 1) % 5 THEN coalesce(h.s[d.u + 1], '')
+         WHEN d.k = 'R' AND i = d.u THEN NULL ELSE h.s[i + 1] END)
+  FROM h JOIN ddl d ON d.n = h.n + 1),
+defs AS (SELECT seq, 'shop' AS db, tbl, s[right(tbl, 1)::INT + 1] AS columns FROM h WHERE n > 0)"""
 
 
 @query(f"WITH {SIM} {_VERSIONS_SQL} SELECT db, tbl, schema_id::INT AS schema_id, log_file AS from_file, log_pos AS from_pos, ddl_kind FROM v")
@@ -407,10 +402,19 @@ def schema_versions(spark, sf_dir):
     return catalog.schema_versions(change_log(spark, sf_dir), CONFIG).select("db", "tbl", "schema_id", "from_file", "from_pos", "ddl_kind")
 
 
+@query(f"WITH RECURSIVE {SIM} {_REPLAY_SQL} SELECT seq, tbl, columns, strpos(columns, 'id int') > 0 AS has_key FROM defs")
+def schema_columns(spark, sf_dir):
+    log = change_log(spark, sf_dir)
+    versions = catalog.schema_versions(log, CONFIG)
+    at = log.where("kind = 'query'").select("seq", F.col("log_file").alias("from_file"), F.col("log_pos").alias("from_pos"))
+    columns = F.array_join(F.transform(F.map_entries("column_types"), lambda e: F.concat(e["key"], F.lit(" "), e["value"])), ",")
+    return versions.join(at, ["from_file", "from_pos"]).select("seq", "tbl", columns.alias("columns"), (F.size("primary_key") > 0).alias("has_key"))
+
+
 @query(
     f"""WITH {_POSITIONED}, {_VERSIONS_SQL}
-SELECT p.seq, p.base AS tbl, (SELECT max(v.schema_id) FROM v WHERE v.db = p.db AND v.tbl = p.base AND v.seq < p.seq)::INT AS schema_id
-FROM positioned p WHERE p.kind <> 'query' AND p.db <> 'mysql'"""
+SELECT p.seq, p.base AS tbl, v.schema_id::INT AS schema_id
+FROM positioned p ASOF LEFT JOIN v ON v.db = p.db AND v.tbl = p.base AND v.seq < p.seq WHERE p.kind <> 'query' AND p.db <> 'mysql'"""
 )
 def schema_asof_join(spark, sf_dir):
     versions = catalog.schema_versions(change_log(spark, sf_dir), CONFIG)
@@ -418,61 +422,106 @@ def schema_asof_join(spark, sf_dir):
     return catalog.with_schema_version(rows, versions).select("seq", "tbl", "schema_id")
 
 
+_TYPED_AT = "strftime(p.ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(p.ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(p.ts, '%f') END"
+_TOOK = "((p.seq % 30) * 3600 + (p.seq % 60) * 60 + 7) * 1000000 + 500000"
+
+
+@query(
+    f"""WITH RECURSIVE {_POSITIONED}, {_REPLAY_SQL},
+t AS (SELECT p.*, coalesce(contains(d.columns, 'at datetime'), false) AS typed, coalesce(contains(d.columns, 'id int'), false) AS known
+  FROM positioned p ASOF LEFT JOIN defs d ON d.db = p.db AND d.tbl = p.base AND d.seq < p.seq WHERE p.kind <> 'query' AND p.db <> 'mysql')
+SELECT seq, CASE WHEN known THEN '{{"id":' || user_id || '}}' END AS keys,
+  CASE WHEN kind <> 'delete' THEN CASE WHEN typed THEN {_TYPED_AT} ELSE strftime(p.ts, '%Y-%m-%d %H:%M:%S.%f') END END AS at,
+  CASE WHEN kind <> 'delete' THEN CASE p.seq % 3 WHEN 0 THEN CASE WHEN typed THEN '[]' ELSE '' END WHEN 1 THEN CASE WHEN typed THEN '["a","b"]' ELSE 'b,a' END ELSE CASE WHEN typed THEN '["b"]' ELSE 'b' END END END AS tags,
+  CASE WHEN message_type = 'update' THEN CASE WHEN typed THEN ((CASE WHEN p.seq % 4 = 0 THEN -1 ELSE 1 END) * ({_TOOK}))::VARCHAR
+    ELSE (CASE WHEN p.seq % 4 = 0 THEN '-' ELSE '' END) || lpad((p.seq % 30)::VARCHAR, 2, '0') || ':' || lpad((p.seq % 60)::VARCHAR, 2, '0') || ':07.5' END END AS previous_took
+FROM t p"""
+)
+def typed_payload(spark, sf_dir):
+    versions = catalog.schema_versions(change_log(spark, sf_dir), CONFIG)
+    m = messages.data_messages(positioned(spark, sf_dir), CONFIG, versions, keep=("seq",))
+    part = lambda c, name: F.get_json_object(c, f"$.{name}")
+    return m.select("seq", "keys", part("payload_data", "at").alias("at"), part("payload_data", "tags").alias("tags"), part("previous_payload_data", "took").alias("previous_took"))
+
+
 @query(f"WITH {SIM} {_VERSIONS_SQL} SELECT 'main.source.shop' AS namespace, tbl AS source, schema_id::INT AS schema_id, ddl_kind = 'alter_table' AS is_alter FROM v")
 def schema_registration(spark, sf_dir):
     entries = catalog.register(catalog.schema_versions(change_log(spark, sf_dir), CONFIG), CONFIG)
     return entries.select("namespace", "source", "schema_id", F.col("alter_statement").isNotNull().alias("is_alter"))
 
 
-_CATALOG = (
-    ("shop", "biz", "id", 1, "int(11)", "PRI"),
-    ("shop", "biz", "name", 2, "varchar(64)", ""),
-    ("shop", "biz", "created_at", 3, "timestamp", ""),
-    ("shop", "biz", "flags", 4, "set('a','b')", ""),
-    ("shop", "employee", "id", 1, "int(11)", "PRI"),
-    ("shop", "employee", "dept", 2, "int(11)", "PRI"),
-    ("shop", "employee", "salary", 3, "float(10,2)", ""),
-    ("mysql", "user", "host", 1, "char(60)", "PRI"),
-    ("test", "scratch", "at", 1, "time(6)", ""),
+@query(
+    f"""WITH {_POSITIONED}, {_VERSIONS_SQL} SELECT p.seq, message_type, 'main.source.' || p.db || '.' || base AS topic, v.schema_id::INT AS schema_id,
+CASE WHEN kind = 'delete' THEN NULL ELSE user_id END AS payload_id, CASE WHEN message_type = 'update' THEN user_id END AS previous_id, base IN ('t1', 't3') AS contains_pii,
+pos_file AS up_file, pos_log_pos AS up_pos, pos_offset AS up_offset, 'source' AS cluster_name, p.db AS database_name, base AS table_name,
+false AS dry_run, (epoch_us(ts) // 1000000) AS timestamp, pos_file AS meta_file, pos_log_pos AS meta_pos
+FROM positioned p ASOF LEFT JOIN v ON v.db = p.db AND v.tbl = p.base AND v.seq < p.seq WHERE kind <> 'query' AND p.db <> 'mysql'"""
+)
+def message_envelope(spark, sf_dir):
+    listed = spark.sql("SELECT 'shop' AS db, explode(array('t1', 't3')) AS tbl")
+    m = messages.data_messages(positioned(spark, sf_dir), CONFIG, catalog.schema_versions(change_log(spark, sf_dir), CONFIG), keep=("seq",), pii=listed)
+    up, p = F.col("upstream_position_info"), F.col("upstream_position_info.position")
+    key = lambda c: F.get_json_object(c, "$.id").cast("long")
+    return m.select(
+        "seq", "message_type", "topic", "schema_id", key("payload_data").alias("payload_id"), key("previous_payload_data").alias("previous_id"), "contains_pii",
+        p["log_file"].alias("up_file"), p["log_pos"].alias("up_pos"), p["offset"].alias("up_offset"), up["cluster_name"].alias("cluster_name"), up["database_name"].alias("database_name"),
+        up["table_name"].alias("table_name"), "dry_run", "timestamp", F.col("meta")[0]["log_file"].alias("meta_file"), F.col("meta")[0]["log_pos"].alias("meta_pos"),
+    )
+
+
+#: A catalog of columns made from the parts: six databases, fifty tables in each.
+_CATALOG_SQL = (
+    "SELECT *, cast(row_number() OVER (PARTITION BY db, tbl ORDER BY p_partkey) AS int) AS ordinal_position FROM (SELECT p_partkey, "
+    "CASE p_partkey % 6 WHEN 0 THEN 'mysql' WHEN 1 THEN 'test' ELSE concat('shop', cast(p_partkey % 6 AS varchar(20))) END AS db, "
+    "concat('tbl_', cast(cast(floor(p_partkey / 6) AS bigint) % 50 AS varchar(20))) AS tbl, concat('c', cast(p_partkey AS varchar(20))) AS column_name, CASE p_partkey % 10 "
+    + " ".join(f"WHEN {i} THEN '{t.replace(chr(39), chr(39) * 2)}'" for i, t in enumerate(_TYPES))
+    + " END AS column_type, CASE WHEN p_size % 4 = 0 THEN 'PRI' ELSE '' END AS column_key FROM part) parts"
 )
-_CATALOG_SQL = "c(db, tbl, column_name, ordinal_position, column_type, column_key) AS (VALUES " + ", ".join(str(tuple(x)).replace('"set(\'a\',\'b\')"', "'set(''a'',''b'')'") for x in _CATALOG) + ")"
 
 
-def _catalog(spark) -> DataFrame:
-    return spark.createDataFrame(list(_CATALOG), "db string, tbl string, column_name string, ordinal_position int, column_type string, column_key string")
+def _catalog(spark, sf_dir) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
+    return spark.sql(_CATALOG_SQL)
 
 
-@query(f"WITH {_CATALOG_SQL} SELECT column_name, ordinal_position, column_type FROM c WHERE db = 'shop' AND tbl = 'biz'")
+@query(f"WITH c AS ({_CATALOG_SQL}) SELECT column_name, ordinal_position, column_type FROM c WHERE db = 'shop2' AND tbl = 'tbl_7'")
 def catalog_columns(spark, sf_dir):
-    return catalog.table_columns(_catalog(spark), "shop", "biz").select("column_name", "ordinal_position", "column_type")
+    return catalog.table_columns(_catalog(spark, sf_dir), "shop2", "tbl_7").select("column_name", "ordinal_position", "column_type")
 
 
-@query(f"WITH {_CATALOG_SQL} SELECT column_name, ordinal_position FROM c WHERE db = 'shop' AND tbl = 'employee' AND column_key = 'PRI'")
+@query(f"WITH c AS ({_CATALOG_SQL}) SELECT column_name, ordinal_position FROM c WHERE db = 'shop3' AND tbl = 'tbl_9' AND column_key = 'PRI'")
 def primary_keys(spark, sf_dir):
-    keys = _catalog(spark).where("column_key = 'PRI'").withColumn("constraint_name", F.lit("PRIMARY"))
-    return catalog.primary_key(keys, "shop", "employee").select("column_name", "ordinal_position")
+    keys = _catalog(spark, sf_dir).where("column_key = 'PRI'").withColumn("constraint_name", F.lit("PRIMARY"))
+    return catalog.primary_key(keys, "shop3", "tbl_9").select("column_name", "ordinal_position")
 
 
-@query(f"WITH {_CATALOG_SQL} SELECT db, tbl, count(*) AS columns, count(*) FILTER (WHERE regexp_matches(column_type, '^(set|time)')) AS transforms FROM c GROUP BY db, tbl")
+@query(f"WITH c AS ({_CATALOG_SQL}) SELECT db, tbl, count(*) AS columns, count(*) FILTER (WHERE regexp_matches(lower(column_type), '^(set|timestamp|datetime|time)')) AS transforms FROM c GROUP BY db, tbl")
 def column_type_map(spark, sf_dir):
-    maps = catalog.column_types(_catalog(spark)).join(catalog.transformed_columns(_catalog(spark)), ["db", "tbl"])
+    columns = _catalog(spark, sf_dir)
+    maps = catalog.column_types(columns).join(catalog.transformed_columns(columns), ["db", "tbl"])
     return maps.select("db", "tbl", F.size("column_types").cast("long").alias("columns"), F.size("transforms").cast("long").alias("transforms"))
 
 
-@query(f"WITH {_CATALOG_SQL} SELECT string_agg(db, ' ' ORDER BY db) AS databases FROM (SELECT DISTINCT db FROM c WHERE db <> 'mysql')")
+@query(f"WITH c AS ({_CATALOG_SQL}) SELECT string_agg(db, ' ' ORDER BY db) AS databases FROM (SELECT DISTINCT db FROM c WHERE db <> 'mysql')")
 def dump_db_list(spark, sf_dir):
-    return filters.dump_databases(_catalog(spark), CONFIG)
+    return filters.dump_databases(_catalog(spark, sf_dir), CONFIG)
 
 
-@query(f"WITH {_CATALOG_SQL}, w(db, tbl) AS (VALUES ('shop', 'biz'), ('shop', 'gone')) SELECT w.db, w.tbl, coalesce((SELECT 'CREATE TABLE ' || max(c.tbl) FROM c WHERE c.db = w.db AND c.tbl = w.tbl), '') AS query FROM w")
+@query(
+    f"""WITH c AS ({_CATALOG_SQL}), w AS (SELECT 'shop' || (n_nationkey % 5 + 1) AS db, 'tbl_' || n_nationkey AS tbl FROM nation),
+t AS (SELECT db, tbl, 'CREATE TABLE `' || tbl || '` (' || string_agg('`' || column_name || '` ' || column_type, ', ' ORDER BY ordinal_position)
+  || coalesce(', PRIMARY KEY (' || string_agg('`' || column_name || '`', ', ' ORDER BY ordinal_position) FILTER (WHERE column_key = 'PRI') || ')', '') || ')' AS query FROM c GROUP BY db, tbl)
+SELECT w.db, w.tbl, coalesce(t.query, '') AS query FROM w LEFT JOIN t ON t.db = w.db AND t.tbl = w.tbl"""
+)
 def show_create(spark, sf_dir):
-    tables = _catalog(spark).select("db", "tbl").distinct().withColumn("query", F.concat(F.lit("CREATE TABLE "), F.col("tbl")))
-    return catalog.show_create(tables, spark.createDataFrame([("shop", "biz"), ("shop", "gone")], "db string, tbl string"))
+    n = F.col("n_nationkey")
+    wanted = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("shop"), (n % 5 + 1).cast("string")).alias("db"), F.concat(F.lit("tbl_"), n.cast("string")).alias("tbl"))
+    return catalog.show_create(catalog.create_statements(_catalog(spark, sf_dir)), wanted)
 
 
-@query(f"WITH {_CATALOG_SQL} SELECT DISTINCT db, tbl FROM c WHERE tbl LIKE '%_e%'")
+@query(f"WITH c AS ({_CATALOG_SQL}) SELECT DISTINCT db, tbl FROM c WHERE tbl LIKE 'tbl_1%'")
 def tables_like(spark, sf_dir):
-    return catalog.tables_like(_catalog(spark), "%_e%")
+    return catalog.tables_like(_catalog(spark, sf_dir), "tbl_1%")
 
 
 # --- recovery and state --------------------------------------------------------------------------------------------
@@ -498,32 +547,41 @@ def recovery_dedup(spark, sf_dir):
     return messages.unpublished(replay, replay.where(F.col("seq") % 3 == 0).select("topic", "seq"), ["topic", "seq"]).select("seq")
 
 
+#: What is known of each table at the end of the log's first half (without t4), and at its end (without t0).
+_HALVES_SQL = """half AS (SELECT (min(seq) + max(seq)) // 2 AS at FROM sim),
+o AS (SELECT tbl, max(seq) AS v FROM sim, half WHERE seq <= half.at AND tbl <> 't4' GROUP BY tbl),
+n AS (SELECT tbl, max(seq) + CASE WHEN tbl = 't2' THEN 7 ELSE 0 END AS v FROM sim WHERE tbl <> 't0' GROUP BY tbl)"""
+
+
+def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    log = change_log(spark, sf_dir).select("seq", "tbl")
+    middle = log.agg(F.floor((F.min("seq") + F.max("seq")) / 2).alias("at")).first()["at"]
+    seen = lambda rows, more: rows.groupBy("tbl").agg((F.max("seq") + more).alias("v"))
+    more = F.when(F.col("tbl") == "t2", 7).otherwise(0)
+    return seen(log.where((F.col("seq") <= middle) & (F.col("tbl") != "t4")), F.lit(0)), seen(log.where("tbl <> 't0'"), more)
+
+
 @query(
-    f"""WITH {SIM} o AS (SELECT tbl, max(log_pos) AS v FROM sim WHERE log_file = 'mysql-bin.000001' AND tbl <> 't4' GROUP BY tbl),
-n AS (SELECT tbl, max(log_pos) AS v FROM sim WHERE log_file <= 'mysql-bin.000001' AND tbl <> 't0' GROUP BY tbl)
-SELECT coalesce(o.tbl, n.tbl) AS cluster_name, coalesce('p' || n.v, 'p' || o.v) AS position, n.v IS NULL AS is_clean_shutdown, (CASE WHEN n.v IS NULL THEN 1 ELSE 2 END)::BIGINT AS time_updated FROM o FULL JOIN n ON o.tbl = n.tbl"""
+    f"""WITH {SIM} {_HALVES_SQL}
+SELECT coalesce(o.tbl, n.tbl) AS cluster_name, 'p' || coalesce(n.v, o.v) AS position, n.v IS NULL AS is_clean_shutdown, (CASE WHEN n.v IS NULL THEN 1 ELSE 2 END)::BIGINT AS time_updated FROM o FULL JOIN n ON o.tbl = n.tbl"""
 )
 def global_state_upsert(spark, sf_dir):
-    log = change_log(spark, sf_dir).where("log_file = 'mysql-bin.000001'")
+    old, new = _halves(spark, sf_dir)
 
-    def states(tables: DataFrame, clean: bool, now: int) -> DataFrame:
-        last = tables.groupBy(F.col("tbl").alias("cluster_name")).agg(F.concat(F.lit("p"), F.max("log_pos").cast("string")).alias("position"))
-        return last.select("cluster_name", "position", F.lit(clean).alias("is_clean_shutdown"), F.lit(now).cast("long").alias("time_updated"))
+    def states(reached: DataFrame, clean: bool, now: int) -> DataFrame:
+        return reached.select(F.col("tbl").alias("cluster_name"), F.concat(F.lit("p"), F.col("v").cast("string")).alias("position"), F.lit(clean).alias("is_clean_shutdown"), F.lit(now).cast("long").alias("time_updated"))
 
-    return state.upsert_global_state(states(log.where("tbl <> 't4'"), True, 1), states(log.where("tbl <> 't0'"), False, 2))
+    return state.upsert_global_state(states(old, True, 1), states(new, False, 2))
 
 
 @query(
-    f"""WITH {SIM} o AS (SELECT tbl, max(log_pos) AS v FROM sim WHERE log_file = 'mysql-bin.000001' AND tbl <> 't4' GROUP BY tbl),
-n AS (SELECT tbl, max(log_pos) + CASE WHEN tbl = 't2' THEN 7 ELSE 0 END AS v FROM sim WHERE log_file = 'mysql-bin.000001' AND tbl <> 't0' GROUP BY tbl)
+    f"""WITH {SIM} {_HALVES_SQL}
 SELECT 'source' AS cluster_name, coalesce(o.tbl, n.tbl) AS topic, coalesce(n.v, o.v)::BIGINT AS topic_offset, (CASE WHEN o.v IS NULL THEN 2 ELSE 1 END)::BIGINT AS time_created,
 (CASE WHEN n.v IS NULL OR n.v = o.v THEN 1 ELSE 2 END)::BIGINT AS time_updated FROM o FULL JOIN n ON o.tbl = n.tbl"""
 )
 def offset_upsert(spark, sf_dir):
-    log = change_log(spark, sf_dir).where("log_file = 'mysql-bin.000001'")
-    reached = lambda t: t.groupBy(F.lit("source").alias("cluster_name"), F.col("tbl").alias("topic")).agg(F.max("log_pos").cast("long").alias("topic_offset"))
-    old = reached(log.where("tbl <> 't4'")).withColumn("time_created", F.lit(1).cast("long")).withColumn("time_updated", F.lit(1).cast("long"))
-    new = reached(log.where("tbl <> 't0'")).withColumn("topic_offset", F.col("topic_offset") + F.when(F.col("topic") == "t2", 7).otherwise(0))
+    old, new = (x.select(F.lit("source").alias("cluster_name"), F.col("tbl").alias("topic"), F.col("v").cast("long").alias("topic_offset")) for x in _halves(spark, sf_dir))
+    old = old.withColumn("time_created", F.lit(1).cast("long")).withColumn("time_updated", F.lit(1).cast("long"))
     return state.upsert_offsets(old, new, F.lit(2))
 
 

@@ -26,13 +26,15 @@ POSITION = _struct("gtid string, log_file string, log_pos long, offset long, hb_
 CHANGELOG_PAYLOAD = _struct("table_schema string, table_name string, id int")
 GLOBAL_STATE = _struct("cluster_name string, position string, is_clean_shutdown boolean, event_type string, database_name string, table_name string, time_updated long")
 CHECKPOINT = _struct("cluster_name string, topic string, topic_offset long, time_created long, time_updated long")
+STATEMENT = _struct("cluster_name string, kind string, db string, log_file string, log_pos long, query string")
 SCHEMA_DUMP = _struct("cluster_name string, database_dump string")
 CATALOG_COLUMN = _struct(
     "db string, tbl string, column_name string, ordinal_position int, column_default string, is_nullable string, data_type string, "
     "character_maximum_length long, numeric_precision long, numeric_scale long, column_type string, column_key string"
 )
 CATALOG_KEY = _struct("db string, tbl string, constraint_name string, column_name string, ordinal_position int")
-SCHEMA_VERSION = _struct("db string, tbl string, schema_id int, from_file string, from_pos long", column_types=MapType(StringType(), StringType()))
+#: The tables that a log begins with.
+BASE_TABLE = _struct("db string, tbl string", column_types=MapType(StringType(), StringType()), primary_key=ArrayType(StringType()))
 
 #: What puts events in order; Spark keeps none by itself.
 ORDER = ("log_file", "log_pos", "row_idx")

@@ -3,8 +3,11 @@
 A capture is a folder of JSON-lines files, one for each log file, named as the log file with ``.jsonl``; a line is an
 event of ``schema.RAW_EVENT``. Register with ``spark.dataSource.register(BinlogSource)`` and read with
 ``format("binlog")``. Options: ``path``; ``log_file`` and ``log_pos`` to start from; ``resume`` (false: from the log's
-begin); ``tables``, a comma-separated list that row events are held against; ``batch_events``, the most events of a
-micro-batch.
+begin); ``tables``, a comma-separated list that row events are held against; ``span_bytes``, the most bytes of a file
+that one task reads.
+
+Offsets are byte positions of whole lines, so a reader never goes back, reads nothing twice, and leaves a line that is
+still being written for later.
 
 Readers open files with the local file system's calls, so the folder must be mounted on every executor. Captures in a
 store that only Spark reads go through :func:`captured`, which needs no such folder.
@@ -25,9 +28,10 @@ from rowstream.config import ADMITTED_KINDS, ROW_KINDS, only_tables
 from rowstream.schema import RAW_EVENT
 
 
-def captured(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """A capture through Spark's own readers: splittable, pruned, and at home in any store."""
-    reader = (spark.readStream if stream else spark.read).schema(RAW_EVENT)
+def captured(spark: SparkSession, path: str, stream: bool = False, files_per_batch: int = 4) -> DataFrame:
+    """A capture through Spark's own readers: splittable, pruned, and at home in any store. A stream takes some files at
+    a time, as positions are given in order."""
+    reader = (spark.readStream.option("maxFilesPerTrigger", files_per_batch) if stream else spark.read).schema(RAW_EVENT)
     return reader.json(path).where(F.col("kind").isin(*ADMITTED_KINDS))
 
 
@@ -36,9 +40,9 @@ def _files(path: str) -> list[str]:
 
 
 class _Span(InputPartition):
-    """Lines ``first`` to ``last`` (not included; None: the end) of a file."""
+    """The lines of a file that begin at bytes ``first`` to ``last`` (not included)."""
 
-    def __init__(self, file: str, first: int, last: int | None) -> None:
+    def __init__(self, file: str, first: int, last: int) -> None:
         super().__init__(file)
         self.file, self.first, self.last = file, first, last
 
@@ -52,69 +56,79 @@ class _Reading:
         listed = [t for t in options.get("tables", "").split(",") if t]
         self.tables = only_tables(listed)
         self.marker_db = options.get("heartbeat_db", "heartbeat")
-        self.batch_events = int(options.get("batch_events", "100000"))
+        self.span_bytes = int(options.get("span_bytes", str(64 << 20)))
+
+    def lines(self, span: _Span) -> Iterator[bytes]:
+        with open(os.path.join(self.path, span.file), "rb") as f:
+            if span.first:  # a line that began before belongs to another span
+                f.seek(span.first - 1)
+                f.readline()
+            while f.tell() < span.last:
+                yield f.readline()
 
     def rows(self, span: _Span) -> Iterator[tuple]:
-        with open(os.path.join(self.path, span.file), encoding="utf-8") as f:
-            for i, line in enumerate(f):
-                if i < span.first:
-                    continue
-                if span.last is not None and i >= span.last:
-                    return
-                event = json.loads(line)
-                if event.get("kind") not in ADMITTED_KINDS or (event["log_file"], event["log_pos"]) < (self.log_file, self.log_pos):
-                    continue
-                if self.tables is not None and event["kind"] in ROW_KINDS and event.get("tbl") not in self.tables and event.get("db") != self.marker_db:
-                    continue
-                images = event.get("rows")
-                rows = None if images is None else [tuple(r.get(k) for k in ("values", "before_values", "after_values")) for r in images]
-                yield (*(event.get(k) for k in ("kind", "cluster", "db", "tbl", "log_file", "log_pos", "gtid", "ts_epoch", "query")), rows)
+        for line in self.lines(span):
+            event = json.loads(line)
+            if event.get("kind") not in ADMITTED_KINDS or (event["log_file"], event["log_pos"]) < (self.log_file, self.log_pos):
+                continue
+            if self.tables is not None and event["kind"] in ROW_KINDS and event.get("tbl") not in self.tables and event.get("db") != self.marker_db:
+                continue
+            images = event.get("rows")
+            rows = None if images is None else [tuple(r.get(k) for k in ("values", "before_values", "after_values")) for r in images]
+            yield (*(event.get(k) for k in ("kind", "cluster", "db", "tbl", "log_file", "log_pos", "gtid", "ts_epoch", "query")), rows)
 
     def wanted(self) -> list[str]:
         return [f for f in _files(self.path) if f.removesuffix(".jsonl") >= self.log_file]
 
+    def whole(self, file: str) -> int:
+        """Bytes of a file up to the end of its last whole line."""
+        with open(os.path.join(self.path, file), "rb") as f:
+            end = f.seek(0, os.SEEK_END)
+            while end:
+                first = max(0, end - 4096)
+                f.seek(first)
+                at = f.read(end - first).rfind(b"\n")
+                if at >= 0:
+                    return first + at + 1
+                end = first
+        return 0
+
+    def spans(self, start: dict[str, int], end: dict[str, int]) -> list[_Span]:
+        cuts = [(f, a, min(a + self.span_bytes, n)) for f, n in sorted(end.items()) for a in range(start.get(f, 0), n, self.span_bytes)]
+        return [_Span(*c) for c in cuts] or [_Span("", 0, 0)]
+
+    def read(self, span: _Span) -> Iterator[tuple]:
+        return self.rows(span) if span.file else iter(())
+
 
 class _BatchReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.reading = _Reading(options)
 
     def partitions(self) -> list[_Span]:
-        return [_Span(f, 0, None) for f in self.reading.wanted()] or [_Span("", 0, 0)]
+        return self.reading.spans({}, {f: os.path.getsize(os.path.join(self.reading.path, f)) for f in self.reading.wanted()})
 
     def read(self, partition: _Span) -> Iterator[tuple]:
-        return self.reading.rows(partition) if partition.file else iter(())
+        return self.reading.read(partition)
 
 
 class _StreamReader(DataSourceStreamReader):
-    """An offset counts the lines read of each file."""
+    """An offset has the bytes read of each file."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.reading = _Reading(options)
-        self.reached: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
-        return {"lines": {}}
+        return {"bytes": {}}
 
     def latestOffset(self) -> dict:
-        left = self.reading.batch_events
-        lines = dict(self.reached)
-        for f in self.reading.wanted():
-            with open(os.path.join(self.reading.path, f), "rb") as h:
-                there = sum(1 for _ in h)
-            take = min(left, there - lines.get(f, 0))
-            if take > 0:
-                lines[f] = lines.get(f, 0) + take
-                left -= take
-        self.reached = lines
-        return {"lines": lines}
+        return {"bytes": {f: self.reading.whole(f) for f in self.reading.wanted()}}
 
     def partitions(self, start: dict, end: dict) -> list[_Span]:
-        self.reached = dict(end["lines"])
-        spans = [_Span(f, start["lines"].get(f, 0), n) for f, n in sorted(end["lines"].items()) if n > start["lines"].get(f, 0)]
-        return spans or [_Span("", 0, 0)]
+        return self.reading.spans(start["bytes"], end["bytes"])
 
     def read(self, partition: _Span) -> Iterator[tuple]:
-        return self.reading.rows(partition) if partition.file else iter(())
+        return self.reading.read(partition)
 
     def commit(self, end: dict) -> None:
         pass
