@@ -1,7 +1,8 @@
-"""What the corpus operators share: session helpers and the columns they claim."""
+"""What the corpus operators share: written tables, session helpers and the columns they claim."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 #: The white space that separates words, as a Java and RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: Most rows of narrow keys that are sent to every executor; more keys are joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: Most rows of an Arrow batch while tables are written: texts are long, and batches are held by the JVM and by Python.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,35 +23,62 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one is set only where none is named."""
+    """The shared folder the cluster names. Only a local session that names none gets a temporary one."""
     found = spark.sparkContext.getCheckpointDir()
     if found:
         return found
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="rowstream-checkpoint-")
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written copy."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Tables:
+    """Tables of one run, as Parquet in the shared folder: they cut lineage, and outlast any executor."""
+
+    def __init__(self, spark: SparkSession, run: str) -> None:
+        self.spark, self.base = spark, f"{checkpoint_dir(spark)}/{run}-{uuid.uuid4().hex}"
+        self.made: list[str] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{len(self.made)}-{name}"
+        self.made.append(path)
+        rows = self.spark.conf.get(BATCH_SETTING, None)
+        self.spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_SETTING, rows) if rows else self.spark.conf.unset(BATCH_SETTING)
+        return self.spark.read.parquet(path)
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Delete all tables but those that the given frames read."""
+        used = [f for df in keep for f in df.inputFiles()]
+        for path in self.made:
+            if not any(f"{path.removeprefix('file:').lstrip('/')}/" in f for f in used):
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.made = [p for p in self.made if any(f"{p.removeprefix('file:').lstrip('/')}/" in f for f in used)]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Like :func:`cut`, as Parquet, so that later reads fetch single columns only."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    """Write ``df`` to the shared folder and go on from the written copy."""
+    return Tables(df.sparkSession, name).write(df, name)
+
+
+def semi(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of ``df`` whose ``names`` (nulls are equal) occur in ``keys``, a written table."""
+    right = keys.select(*[F.col(n).alias(f"__semi_{n}") for n in names])
+    right = F.broadcast(right) if keys.count() <= BROADCAST_ROWS else right
+    same = F.lit(True)
+    for n in names:
+        same = same & df[n].eqNullSafe(F.col(f"__semi_{n}"))
+    return df.join(right, same, "left_semi")
 
 
 def n_words(text: Column) -> Column:
     """Number of words; null and blank texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def code_points(text: Column) -> Column:
-    return F.length(text).cast("long")

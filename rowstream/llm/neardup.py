@@ -4,18 +4,22 @@ A text's set holds the hashes (64 bits) of its runs of ``k`` words. One permutat
 least value is its entry, and an empty bin takes the entry of a bin that a hash of its own number picks, trying again
 until one is filled. Bands of entries name buckets.
 
-Texts with equal sets form a class, told by 128 bits and the size, and go on as one representative. A bucket's members
-are each compared with its hub only, so a bucket gives as many candidate pairs as it has members. The first hub is the
-member that shares buckets with most others, which is the source of a group of edited copies. Buckets that still join
-several components are then compared with further hubs, drawn afresh in every bucket and round, until a round finds no
-new link. In the buckets that are mixed even then, every two members of different components are compared, in pairs of
-blocks, so no two texts that share a bucket go uncompared. Every link is confirmed on the full sets.
+Texts with equal sets form a class, told by 128 bits and the size, and go on as one node. Links are looked for in two
+ways, and every link is confirmed on the full sets:
+
+* A bucket's members are each compared with its hub only, so a bucket gives as many candidate pairs as it has members.
+  The first hub is the member that shares buckets with most others, which is the source of a group of edited copies.
+  ``HUB_ROUNDS`` further rounds compare the members of buckets that still join several components with fresh hubs.
+* Buckets that are mixed even then are compared whole: of the members whose sizes allow a link, all those that are not
+  of the bucket's largest component with all of other components, in pairs of blocks of bounded size. So no two texts
+  that share a bucket go without a comparison, unless other links join them already.
 
 With 32 bands of 4, a pair at the limit of 0.8 shares no bucket once in 2 * 10^7 pairs.
 
 Defined results: words are maximal runs without the six ASCII white-space characters, with A-Z in lower case; a text
 of fewer than ``k`` words is one run; a null or blank text has the empty set and is linked with nothing. Rows that
-repeat an id are judged each by its own text. A row without an id gets the least id of its component, or null.
+repeat an id are judged each by its own text. A component is named by the least id of its rows, null if none has one.
+Only the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -28,15 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowstream.llm import textscan
-from rowstream.llm.common import written
-from rowstream.llm.graph import components
+from rowstream.llm.common import BROADCAST_ROWS, WORD, Tables, semi
+from rowstream.llm.graph import components, joined
 
 BANDS, ROWS = 32, 4
-HUBS_A_ROUND = 2
-#: Members of a mixed bucket are compared in pairs of blocks of about so many.
-BLOCK = 512
+#: Rounds of hubs drawn afresh, and hubs of a bucket in each; what they leave open is compared whole.
+HUB_ROUNDS, HUBS_A_ROUND = 1, 2
+#: Members of a mixed bucket are compared in pairs of blocks of about so many members and set elements.
+BLOCK, BLOCK_GRAMS = 512, 1 << 19
 #: Columns of the incidence matrix held at a time.
 COLUMNS = 4096
+#: Texts whose signatures are made at a time.
+SIGNED = 2048
 
 
 def shingle_sets(part: textscan.Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,47 +109,70 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _scan(k: int, bands: int, rows: int, full: bool):
+def _scan(k: int, bands: int, rows: int):
+    """(id, h, text) to (id, h, n, a, b, keys): the set's size and 128 bits of it, and its buckets."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textscan.slices(batch.column(1)):
+            for part in textscan.slices(batch.column(2)):
                 grams, at = shingle_sets(part, k)
-                ids = batch.column(0).slice(part.first, part.n)
                 size = np.diff(at)
-                if full:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(size), _lists(grams, at)], ["id", "n", "grams"])
-                    continue
                 sums = []
                 for turn in (0, 1):
                     total = np.zeros(len(grams) + 1, np.uint64)
                     np.cumsum(textscan.mix(grams + np.uint64(turn * 0x5851F42D4C957F2D)), out=total[1:])
                     sums.append(pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)))
-                keys = band_keys(signatures(grams, at, bands * rows), bands, rows)
-                some = size > 0
-                ends = np.concatenate([[0], np.cumsum(some * bands)])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size), *sums, _lists(np.ascontiguousarray(keys[some]).reshape(-1), ends)], ["id", "n", "a", "b", "keys"])
+                for i in range(0, part.n, SIGNED):
+                    j = min(part.n, i + SIGNED)
+                    keys = band_keys(signatures(grams[at[i] : at[j]], at[i : j + 1] - at[i], bands * rows), bands, rows)
+                    some = size[i:j] > 0
+                    ends = np.concatenate([[0], np.cumsum(some * bands)])
+                    lists = _lists(np.ascontiguousarray(keys[some]).reshape(-1), ends)
+                    own = [batch.column(c).slice(part.first + i, j - i) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(size[i:j]), *(x.slice(i, j - i) for x in sums), lists], ["id", "h", "n", "a", "b", "keys"])
+
+    return scan
+
+
+def _sets(k: int):
+    """(id, h, text) to (id, h, grams)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textscan.slices(batch.column(2)):
+                own = [batch.column(c).slice(part.first, part.n) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, _lists(*shingle_sets(part, k))], ["id", "h", "grams"])
 
     return scan
 
 
 def _linked(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those edges (x, y) whose sets are alike: 100 * intersection >= percent * union."""
-    one = sets.select(F.col("id").alias("x"), F.col("grams").alias("gx"))
-    two = sets.select(F.col("id").alias("y"), F.col("grams").alias("gy"))
+    """Of the edges (x, y, cx, cy) those whose nodes' sets are alike, 100 * intersection >= percent * union, as links
+    (x, y) of components."""
+    one = sets.select(F.col("node").alias("x"), F.col("grams").alias("gx"))
+    two = sets.select(F.col("node").alias("y"), F.col("grams").alias("gy"))
     both = edges.join(one, "x").join(two, "y")
-    common = F.size(F.array_intersect("gx", "gy"))
-    counted = both.select("x", "y", common.alias("i"), F.size("gx").alias("nx"), F.size("gy").alias("ny"))
-    return counted.where(100 * F.col("i") >= percent * (F.col("nx") + F.col("ny") - F.col("i"))).select("x", "y")
+    counted = both.select("cx", "cy", F.size(F.array_intersect("gx", "gy")).alias("i"), F.size("gx").alias("nx"), F.size("gy").alias("ny"))
+    near = counted.where(100 * F.col("i") >= percent * (F.col("nx") + F.col("ny") - F.col("i")))
+    return near.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
 
 
 def _edges(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's member and a hub of another component whose sizes allow a link."""
-    hub = F.col("hub")
-    pairs = members.join(hubs, "key").where(hub["id"] != F.col("id"))
-    if "component" in members.columns:
-        pairs = pairs.where(hub["component"] != F.col("component"))
-    sizes = 100 * F.least(hub["n"], F.col("n")) >= percent * F.greatest(hub["n"], F.col("n"))
-    return pairs.where(sizes).select(F.least(hub["id"], F.col("id")).alias("x"), F.greatest(hub["id"], F.col("id")).alias("y")).distinct()
+    """Pairs (x, y) of a bucket's member and a hub of another component whose sizes allow a link, with components."""
+    hub, own = F.col("hub"), F.struct("node", "component")
+    pairs = members.join(hubs, "key").where(hub["component"] != F.col("component"))
+    pairs = pairs.where(100 * F.least(hub["n"], F.col("n")) >= percent * F.greatest(hub["n"], F.col("n")))
+    two = F.struct(hub["node"].alias("node"), hub["component"].alias("component"))
+    ends = pairs.select(F.least(own, two).alias("p"), F.greatest(own, two).alias("q"))
+    return ends.select(F.col("p.node").alias("x"), F.col("q.node").alias("y"), F.col("p.component").alias("cx"), F.col("q.component").alias("cy")).distinct()
+
+
+def _mixed(tables: Tables, members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of those buckets that hold several components, with the components they have by now."""
+    labelled = members.select("key", "node", "n").join(found, "node", "left")
+    placed = tables.write(labelled.select("key", "node", "n", F.coalesce("component", "node").alias("component")), "labelled")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return tables.write(placed.join(tables.write(mixed, "mixed"), "key"), "placed")
 
 
 def alike(component: np.ndarray, side: np.ndarray, grams: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
@@ -174,7 +204,7 @@ def alike(component: np.ndarray, side: np.ndarray, grams: np.ndarray, at: np.nda
 
 
 def _compare(percent: int):
-    """Rows come sorted by (key, i, j), a pair of a bucket's blocks; a group may go on in the next batch."""
+    """Rows come sorted by ``pair``, two blocks of a bucket; a pair may go on in the next batch."""
 
     def found(rows: pa.Table) -> np.ndarray:
         lists = rows.column("grams").combine_chunks()
@@ -184,42 +214,109 @@ def _compare(percent: int):
         return alike(np.asarray(rows.column("component")), np.asarray(rows.column("side")), grams, at - at[0], percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
+        kept: list[pa.RecordBatch] = []  # of the pair that goes on
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if kept is None else pa.concat_tables([kept, rows])
-            if not rows.num_rows:
-                continue
-            group = np.stack([np.asarray(rows.column(c)) for c in ("key", "i", "j")])
-            cuts = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1])
-            out = [found(rows.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            kept = rows.slice(cuts[-1])
-            yield from _pairs(out)
-        if kept is not None and kept.num_rows:
-            yield from _pairs([found(kept)])
+            pair = np.asarray(batch.column(0))
+            cuts = np.concatenate([[0], np.flatnonzero(pair[1:] != pair[:-1]) + 1, [len(pair)]])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if kept and kept[0].column(0)[0].as_py() != pair[a]:
+                    yield from _links(found(pa.Table.from_batches(kept)))
+                    kept = []
+                if b > a:
+                    kept.append(batch.slice(a, b - a))
+        if kept:
+            yield from _links(found(pa.Table.from_batches(kept)))
 
     return run
 
 
-def _pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if found:
-        both = np.unique(np.concatenate(found), axis=0)
+def _links(both: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(both):
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["x", "y"])
 
 
-def _rest(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (x, y) between components, from comparing all members of every bucket of ``placed``."""
-    marks = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
+def _rest(tables: Tables, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) of components, from comparing the members of every bucket of ``placed``: all that are not of its
+    largest component (minor) with all whose sizes allow a link."""
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
     # buckets with the same members are compared once
-    buckets = placed.groupBy("key").agg(F.count("*").alias("size"), *marks).groupBy("size", "m0", "m1").agg(F.min("key").alias("key"))
-    buckets = written(buckets.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "buckets")
-    dealt = placed.join(buckets, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(-1), "id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("key", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    dealt = written(dealt.select("key", "id", "component", low.alias("i"), high.alias("j"), (F.col("own") > F.col("other")).alias("side")), "dealt")
-    whole = dealt.join(sets.select("id", "grams"), "id").select("key", "i", "j", "component", "side", "grams")
-    ordered = whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return written(ordered.mapInArrow(_compare(percent), "x long, y long").distinct(), "links")
+    buckets = placed.groupBy("key").agg(F.count("*").alias("size"), *marks).groupBy("size", "m0", "m1").agg(F.min("key").alias("key")).select("key")
+    counts = tables.write(placed.join(buckets, "key").groupBy("key", "component").agg(F.count("*").alias("size")), "counts")
+    largest = tables.write(counts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest")), "largest")
+    # linked sets differ in size by one class at most
+    rank = F.floor(F.log("n") / float(np.log(100 / percent) + 1e-6)).cast("int")
+    sorted_in = placed.join(largest, "key").withColumn("rank", rank).withColumn("minor", F.col("component") != F.col("largest"))
+    sorted_in = tables.write(sorted_in.select("key", "rank", "minor", "node", "n", "component"), "ranked")
+    cell = ["key", "rank", "minor"]
+    blocks = sorted_in.groupBy(cell).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    blocks = tables.write(blocks, "blocks")
+    dealt = tables.write(sorted_in.join(blocks, cell).select(*cell, F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("block"), "node", "component"), "dealt")
+
+    l, r = blocks.alias("l"), blocks.alias("r")
+    own = (F.col("l.rank") == F.col("r.rank")) & (F.col("l.minor") == F.col("r.minor"))
+    meet = own | (F.col("r.rank") == F.col("l.rank") + 1) | ((F.col("l.rank") == F.col("r.rank")) & F.col("l.minor") & ~F.col("r.minor"))
+    pairs = l.join(r, F.col("l.key") == F.col("r.key")).where(meet & (F.col("l.minor") | F.col("r.minor")))
+    pairs = pairs.select("l.key", F.col("l.rank").alias("rank0"), F.col("l.minor").alias("minor0"), F.col("r.rank").alias("rank1"), F.col("r.minor").alias("minor1"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("l.blocks") - 1)).alias("block0"), F.col("r.blocks").alias("blocks"))
+    pairs = pairs.withColumn("block1", F.explode(F.sequence(F.when(F.col("own"), F.col("block0")).otherwise(0), F.col("blocks") - 1)))
+    pairs = tables.write(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs")
+
+    sides = []
+    for i in (0, 1):
+        names = {f"rank{i}": "rank", f"minor{i}": "minor", f"block{i}": "block"}
+        asked = pairs if i == 0 else pairs.where("not (own and block0 = block1)")
+        asked = asked.select("key", "pair", *[F.col(a).alias(b) for a, b in names.items()])
+        sides.append(dealt.join(asked, [*cell, "block"]).select("pair", F.lit(bool(i)).alias("side"), "component", "node"))
+    whole = tables.write(sides[0].union(sides[1]), "sides").join(sets, "node").select("pair", "side", "component", "grams")
+    ordered = whole.repartition("pair").sortWithinPartitions("pair")
+    return tables.write(ordered.mapInArrow(_compare(percent), "x long, y long").distinct(), "links")
+
+
+def _components(tables: Tables, texts: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``texts`` (id, h, text) to one row for each, as written: id, h, n, rep (the least id of its class), label (of its
+    component), row (a number of its own)."""
+    scanned = texts.mapInArrow(_scan(k, bands, rows), "id long, h long, n long, a long, b long, keys array<long>")
+    scanned = tables.write(scanned.withColumn("row", F.monotonically_increasing_id()), "shingles")
+    same = ["n", "a", "b"]
+    classes = tables.write(scanned.where("n > 0").groupBy(same).agg(F.min("id").alias("rep"), F.min("row").alias("node")), "classes")
+
+    nodes = scanned.where("n > 0").join(classes.select("node"), F.col("row") == F.col("node"), "left_semi")
+    banded = nodes.select(F.col("row").alias("node"), "n", F.explode("keys").alias("key"))
+    # aggregates are written before they are joined, so that both sides of a join are dealt by it and hot keys can be split
+    shared = tables.write(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    members = tables.write(banded.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "key"), "members")
+    reach = tables.write(members.groupBy("node").agg(F.sum("size").alias("reach")), "reach")
+    wanted = tables.write(scanned.join(reach, F.col("row") == F.col("node")).select("node", "id", "h", *same), "wanted")
+    sets = semi(texts, wanted, ["id", "h"]).mapInArrow(_sets(k), "id long, h long, grams array<long>")
+    to = wanted.select("node", F.col("id").alias("__id"), F.col("h").alias("__h"))
+    sets = tables.write(sets.join(to, F.col("id").eqNullSafe(F.col("__id")) & F.col("h").eqNullSafe(F.col("__h"))).select("node", "grams"), "sets")
+    if sets.count() > wanted.count():  # rows that repeat id and text
+        sets = tables.write(sets.dropDuplicates(["node"]), "sets")
+
+    members = members.withColumn("component", F.col("node"))
+    first = members.join(reach, "node").groupBy("key").agg(F.max_by(F.struct("node", "n", "component"), F.struct("reach", -F.col("node"))).alias("hub"))
+    found = components(tables, _linked(_edges(members, tables.write(first, "hubs"), percent), sets, percent))
+    left = members.where("size > 2")
+    for turn in range(HUB_ROUNDS + 1):
+        left = _mixed(tables, left, found)  # a bucket that joins one component only is done with
+        if left.isEmpty():
+            break
+        if turn == HUB_ROUNDS:
+            links = _rest(tables, left, sets, percent)
+        else:
+            who = F.struct("node", "n", "component")
+            drawn = [F.max_by(who, F.xxhash64(F.lit(turn * HUBS_A_ROUND + i), "key", "node")).alias(f"h{i}") for i in range(HUBS_A_ROUND)]
+            hubs = left.groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS_A_ROUND)]))).alias("hub"))
+            links = tables.write(_linked(_edges(left, tables.write(hubs, "hubs"), percent), sets, percent), "links")
+        if not links.isEmpty():
+            found = joined(tables, found, links)
+    filed = scanned.select("row", "id", "h", *same).join(classes, same, "left").join(found, "node", "left")
+    filed = tables.write(filed.select("row", "id", "h", "n", "rep", F.coalesce("component", "node", F.col("row")).alias("label")), "filed")
+    tables.drop(filed)
+    return filed
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
 
 
 def near_duplicates(
@@ -228,63 +325,30 @@ def near_duplicates(
     """One row per input row: doc_id, n_shingles, component_id, kept, class_id (the least id with the same set)."""
     if bands * rows & (bands * rows - 1):
         raise ValueError("bands * rows must be a power of two")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scanned = written(texts.mapInArrow(_scan(k, bands, rows, False), "id long, n long, a long, b long, keys array<long>"), "shingles")
-    same = ["n", "a", "b"]
-    classes = written(scanned.where("n > 0").groupBy(same).agg(F.min("id").alias("rep")), "reps")
-    filed = written(scanned.drop("keys").join(classes, same, "left"), "classes")
-
-    banded = scanned.where("n > 0").join(classes.where("rep is not null"), same).where("id = rep").select("id", "n", F.explode("keys").alias("key"))
-    # aggregates are written before they are joined, so that both sides of a join are dealt by it and hot keys can be split
-    shared = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    members = written(banded.join(shared, "key"), "members")
-    reach = written(members.groupBy("id").agg(F.sum("size").alias("reach")), "reach")
-    sets = texts.join(reach.select("id"), "id", "left_semi").mapInArrow(_scan(k, bands, rows, True), "id long, n long, grams array<long>")
-    sets = written(sets.dropDuplicates(["id"]) if _ids_repeat(texts) else sets, "sets")
-
-    first = members.join(reach, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("reach", -F.col("id"))).alias("hub"))
-    first = written(first, "hubs")
-    links = written(_linked(_edges(members, first, percent), sets, percent), "links")
-    found = components(links, "x", "y")
-    open_members = members.where("size > 2")
-    turn = 0
-    while True:
-        turn += 1
-        labelled = open_members.join(found, F.col("id") == F.col("node"), "left")
-        placed = written(labelled.select("key", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        mixed = written(mixed, "mixed")
-        placed = written(placed.join(mixed, "key"), "placed")
-        if placed.isEmpty():
-            break
-        open_members = placed.select("key", "id", "n")  # a bucket that joins one component only is done with
-        who = F.struct("id", "n", "component")
-        drawn = placed.groupBy("key").agg(*[F.max_by(who, F.xxhash64(F.lit(turn * HUBS_A_ROUND + i), "key", "id")).alias(f"h{i}") for i in range(HUBS_A_ROUND)])
-        hubs = written(drawn.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS_A_ROUND)]))).alias("hub")), "hubs")
-        new = written(_linked(_edges(placed, hubs, percent), sets, percent), "links")
-        if new.isEmpty():
-            found = components(links.union(_rest(placed, sets, percent)), "x", "y")
-            break
-        links = links.union(new)
-        found = components(links, "x", "y")
-    component = F.coalesce("component", "rep", "id")
-    return filed.join(found, F.col("rep") == F.col("node"), "left").select(
+    tables = Tables(docs.sparkSession, "near-duplicates")
+    filed = _components(tables, _texts(docs, id_col, text_col), k, percent, bands, rows)
+    named = tables.write(filed.groupBy("label").agg(F.min("id").alias("component_id")), "named")
+    return filed.join(named, "label").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
-        F.coalesce("rep", "id").alias("class_id"),
+        "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+        F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("class_id"),
     )
 
 
-def _ids_repeat(texts: DataFrame) -> bool:
-    """Whether some id occurs twice."""
-    return not texts.groupBy("id").count().where("count > 1 and id is not null").isEmpty()
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, that of the least id; rows without an id all stay."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
-    return with_id.unionByName(docs.where(F.col(id_col).isNull()))
-
+def drop_near_duplicates(
+    docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the least id (null last). All columns stay as they
+    are; rows without words all stay."""
+    tables = Tables(docs.sparkSession, "one-of-each")
+    texts = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__h", F.xxhash64(F.col(text_col)))
+    filed = _components(tables, _texts(docs, id_col, text_col), k, percent, bands, rows).where("n > 0")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("of")
+    kept = tables.write(filed.groupBy("label").agg(first).select(F.col("of.id").alias("__id"), F.col("of.h").alias("__h")), "kept")
+    some = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    one = semi(texts.where(some), kept, ["__id", "__h"])
+    if not filed.groupBy("id", "h").count().where("count > 1").isEmpty():
+        one = one.dropDuplicates(["__id", "__h"])
+    return one.union(texts.where(~some)).drop("__id", "__h")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _ROOT = 0x9E3779B97F4A7C15
 _powers = np.ones(1, np.uint64)
@@ -38,27 +38,41 @@ LOWER[65:91] += 32
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the odd hash root modulo 2^64, and their inverses."""
+    """The first ``n`` powers of the odd hash root modulo 2^64, and their inverses; what a slice needs is kept."""
     global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), SLICE_BYTES + 1)
-        base = np.full(size, _ROOT, np.uint64)
-        back = np.full(size, pow(_ROOT, -1, 1 << 64), np.uint64)
-        base[0] = back[0] = 1
-        _powers, _inverses = np.cumprod(base), np.cumprod(back)
-    return _powers[:n], _inverses[:n]
+    if n <= len(_powers):
+        return _powers[:n], _inverses[:n]
+    size = max(n, SLICE_BYTES + 1)
+    base = np.full(size, _ROOT, np.uint64)
+    back = np.full(size, pow(_ROOT, -1, 1 << 64), np.uint64)
+    base[0] = back[0] = 1
+    np.cumprod(base, out=base)
+    np.cumprod(back, out=back)
+    if size <= SLICE_BYTES + 1:
+        _powers, _inverses = base, back
+    return base[:n], back[:n]
 
 
 class Prefix:
-    """Hashes of any byte ranges of ``data`` from one running sum."""
+    """Hashes of byte ranges of ``data`` from running sums, made for stretches of at most a slice or one range."""
 
     def __init__(self, data: np.ndarray) -> None:
-        p, self.back = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODE[data] * p[:-1], out=self.sums[1:])
+        self.data = data
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+        """``start`` and ``end`` ascend."""
+        out = np.empty(len(start), np.uint64)
+        i = 0
+        while i < len(start):
+            low = int(start[i])
+            j = max(i + 1, int(np.searchsorted(end, low + SLICE_BYTES, "right")))
+            p, back = powers(int(end[j - 1]) - low + 1)
+            sums = np.zeros(len(p), np.uint64)
+            np.cumsum(BYTE_CODE[self.data[low : end[j - 1]]] * p[:-1], out=sums[1:])
+            a, b = start[i:j] - low, end[i:j] - low
+            out[i:j] = mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
+            i = j
+        return out
 
 
 class Slice:
