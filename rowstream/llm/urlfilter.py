@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowstream.llm.common import BROADCAST_ROWS, written
+
 BITS_A_KEY = 16
 WORDS = 4
 #: Most bytes of filter that are sent to every executor; a larger filter is joined by shuffle.
@@ -79,8 +81,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     for w in range(WORDS):
         mask = _mask(F.col("__key"), w)
         possible = possible.where(F.col(f"__w{w}").bitwiseAND(mask) == mask)
-    exact = possible.select("host", "path", "__key").join(listed.hint("shuffle_hash"), "__key")
+    # a short list goes to every executor; beyond that AQE splits the rows of a rule that fits many
+    exact = possible.select("host", "path", "__key").join(F.broadcast(listed) if n_keys <= BROADCAST_ROWS else listed.hint("merge"), "__key")
     best = exact.groupBy("host", "path").agg(F.max_by(F.struct(F.col("__key").alias("rule"), F.col("__verdict").alias("verdict")), F.col("__rank")).alias("__best"))
-    return rows.join(best, ["host", "path"], "left").select(
+    # written, so that both sides of the join are dealt by it and the rows of a frequent url can be split
+    return rows.join(written(best, "url-rules"), ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict")
     )
