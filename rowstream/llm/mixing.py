@@ -1,7 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target in words. A document's wanted copies are its source's target over its size; the whole part is
-taken for certain, and the rest is the document's inclusion probability. Documents are ranked by their random odds over
+Every source gets a target in words. Within a source, documents want copies in proportion to their length to the power
+of -``damping``, so that a few long documents don't fill a target alone, and ``most`` copies at most; the level at which
+the wanted words add up to the target is found by filling up classes of length. The whole part of a document's wanted
+copies is taken for certain, and the rest is its inclusion probability. Documents are ranked by their random odds over
 their inclusion odds, and each source takes them in that order up to its remaining words, to the nearest document, so
 the sample's size in words is fixed to within half a document.
 
@@ -10,7 +12,7 @@ is found from those sums and sliced again, and only the last slice's documents a
 
 Defined results: a null text has no words and is never taken; sources are told apart with null as one of them; rows
 that repeat are ranked apart; a source without words has the target 0. Reruns agree: the random numbers are hashes of
-the id, the text and the seed.
+the id, the text and the seed. Only the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowstream.llm.common import n_words, written
+from rowstream.llm.common import Tables, n_words, written
 
 #: Slices at each level; after all levels a slice holds a millionth of a source.
 SLICES, LEVELS = 1 << 10, 2
+#: Classes of length: so many for each doubling.
+CLASSES = 4
+#: Wanted copies fall with the root of the length.
+DAMPING = 0.5
 
 
 def _cuts(rows: DataFrame) -> DataFrame:
@@ -56,35 +62,55 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], most: float) -> D
     return s.select("__source", "source_size", "target")
 
 
+def wanted_copies(rows: DataFrame, goals: DataFrame, most: float, damping: float) -> DataFrame:
+    """(__of, __class, __wanted, __rest): the copies that documents of a source and class want, and the source's words
+    beyond whole copies.
+
+    A class's appeal is its length to the power of -``damping``; it wants level * appeal copies, and ``most`` at most.
+    Any choice of classes that stop at ``most`` gives a level no higher than the right one, so that is the greatest.
+    """
+    words = rows.where("size > 0").groupBy("__source", "__class").agg(F.sum("size").alias("__words"))
+    words = words.join(goals.withColumnRenamed("__source", "__of"), F.col("__source").eqNullSafe(F.col("__of"))).where("target > 0")
+    words = words.withColumn("__appeal", F.pow(F.lit(2.0), -F.col("__class") * F.lit(damping / CLASSES)))
+    by = Window.partitionBy("__of").orderBy("__class")  # few rows: a class is a fraction of a doubling
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    full = F.coalesce(F.sum("__words").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * F.lit(float(most))
+    level = (F.col("target") - full) / F.sum(F.col("__appeal") * F.col("__words")).over(by.rowsBetween(0, Window.unboundedFollowing))
+    words = words.withColumn("__level", level).withColumn("__wanted", F.least(F.lit(float(most)), F.max("__level").over(every) * F.col("__appeal")))
+    rest = F.col("target") - F.sum(F.floor("__wanted") * F.col("__words")).over(every)
+    return words.select("__of", "__class", "__wanted", rest.alias("__rest"))
+
+
 def mix_sources(
-    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 20, damping: float = DAMPING, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, copies and the hash ``text_hash`` of the text."""
+    tables = Tables(docs.sparkSession, "mix")
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("__source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash")
     )
-    rows = written(rows, "mix-sizes")
+    rows = tables.write(rows.withColumn("__class", F.when(F.col("size") > 0, F.floor(F.log2("size") * CLASSES)).cast("int")), "sizes")
     sizes = rows.groupBy("__source").agg(F.sum("size").alias("source_size"))
-    goals = source_targets(sizes, weights, most)
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goals = goals.withColumn("__sure", F.floor(share)).withColumn("__chance", share - F.col("__sure"))
-    goals = goals.withColumn("__rest", F.col("target") - F.col("__sure") * F.col("source_size"))
-    goals = written(goals.withColumnRenamed("__source", "__of"), "mix-goals")
-
-    random = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    ranked = rows.join(goals, F.col("__source").eqNullSafe(F.col("__of")), "left")
-    odds = (F.col("__random") / (1 - F.col("__random"))) / (F.col("__chance") / (1 - F.col("__chance")))
-    ranked = ranked.withColumn("__random", random)
-    # ranking value: random odds over inclusion odds; its place on (0, 1) is even when scaled by the source's own odds
-    ranked = ranked.withColumn("__rank", F.when(F.col("__chance") > 0, odds))
-    even = F.col("__rank") * (F.col("__chance") / (1 - F.col("__chance")))
+    goals = tables.write(source_targets(sizes, weights, most), "goals")
+    copies = tables.write(wanted_copies(rows, goals, most, damping), "copies")
+
+    ranked = rows.join(goals.withColumnRenamed("__source", "__of"), F.col("__source").eqNullSafe(F.col("__of")), "left").drop("__of")
+    same = F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__class") == F.col("__cls"))
+    ranked = ranked.join(copies.withColumnRenamed("__class", "__cls"), same, "left").drop("__of", "__cls")
+    ranked = ranked.withColumn("__sure", F.coalesce(F.floor("__wanted"), F.lit(0))).withColumn("__chance", F.col("__wanted") - F.col("__sure"))
+    ranked = ranked.withColumn("__random", (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), 11) + F.lit(0.5)) / F.lit(float(1 << 53)))
+    # ranking value: random odds over inclusion odds; scaled by the source's own odds it spreads over (0, 1)
+    odds = lambda p: p / (1 - p)
+    ranked = ranked.withColumn("__rank", F.when(F.col("__chance") > 0, odds(F.col("__random")) / odds(F.col("__chance"))))
+    share = F.col("__rest") / F.col("source_size")
+    even = F.col("__rank") * F.when((share > 0.001) & (share < 0.999), odds(share)).otherwise(1.0)
     ranked = ranked.withColumn("__place", even / (1 + even) * SLICES)
     in_play = F.col("__rank").isNotNull() & (F.col("size") > 0)
     # null: not placed yet; what stands in the slice of the cut is placed by the next, finer level
     ranked = ranked.withColumn("__more", F.when(~in_play, F.lit(0))).withColumn("__before", F.lit(0).cast("long"))
     for level in range(LEVELS):
         ranked = ranked.withColumn("__slice", F.least(F.floor("__place"), F.lit(SLICES - 1)))
-        cut = written(_cuts(ranked.where(F.col("__more").isNull())), f"mix-cuts-{level}")
+        cut = tables.write(_cuts(ranked.where(F.col("__more").isNull())), "cuts")
         ranked = ranked.join(cut, F.col("__source").eqNullSafe(F.col("__at")), "left")
         # no cut: the rest takes all that is left of the source
         side = F.when(F.col("__cut").isNull() | (F.col("__slice") < F.col("__cut")), F.lit(1)).when(F.col("__slice") > F.col("__cut"), F.lit(0))
