@@ -14,7 +14,7 @@ from rowstream.llm.mixing import mix_sources
 from rowstream.llm.neardup import near_duplicates
 from rowstream.llm.order_minhash import fingerprint_documents
 from rowstream.llm.passages import repeated_passages
-from rowstream.llm.pii import pseudonymise
+from rowstream.llm.pii import pseudonymise, session_key
 from rowstream.llm.quality import fit, rating, score
 from rowstream.llm.tokens import count_tokens
 from rowstream.llm.urlfilter import judge_urls
@@ -68,7 +68,7 @@ def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), session_key(spark), counts=True)
 
 
 def op9_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
