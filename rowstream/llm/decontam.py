@@ -1,15 +1,24 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts and items are reduced to letters and digits in lower case with single blanks. An item of m characters and an edit
-budget of e = floor(``budget`` * m) edits shares at least m - q + 1 - q * e q-grams with any passage within its budget,
-and these lie on diagonals (place in the text less place in the item) no more than e apart. Shared q-grams are counted
-in overlapping bands of diagonals, two budgets wide; a band that reaches the bound is a region, and a region is verified
-by a banded alignment that must place the whole item within its budget.
+Texts and items are reduced to letters and digits in lower case with single blanks. Items longer than ``WINDOW`` reduced
+characters are cut into windows of that length at steps of ``STEP`` (the last one ends with the item), so that a part of
+an item is found too: any copied stretch of ``WINDOW`` + ``STEP`` - 1 characters holds a whole window.
+
+A piece (a window or a whole shorter item) of m characters and an edit budget of e = floor(``budget`` * m) edits shares
+at least m - q + 1 - q * e q-grams with any passage within its budget, and these lie on diagonals (place in the text less
+place in the piece) no more than e apart. The bound says something only if it is 1 or more, so each piece takes q =
+min(``Q``, floor(m / (e + 1))); an item too short for any edit thus is searched exactly. Shared q-grams are counted in
+overlapping bands of diagonals, two budgets wide; a band that reaches the bound is a region, and a region is verified by
+a banded alignment that must place the whole piece within its budget. Every passage within the budget of a piece has a
+hit; a hit of an item joins the hits of its windows that overlap, and has the most edits of any of them.
+
+Items of fewer than ``WHOLE_WORDS`` reduced characters are found only where they stand as whole words.
 
 Items are processed in blocks of bounded size, each sent to the executors by broadcast, so no table is assumed small.
 
-Defined results: null and empty texts, and texts or items without ``Q`` characters, have no hits; items that repeat are
-found each under its own id; an item without an id is passed over. Every input row gives one output row.
+Defined results: null and empty texts, and texts or items without a letter or digit, have no hits; items that repeat are
+found each under its own id; an item without an id is passed over. Every input row gives one output row, so rows of
+documents that repeat are judged alike; a column named as the hits is replaced, and all others stay.
 """
 
 from __future__ import annotations
@@ -26,9 +35,13 @@ from rowstream.llm import textscan
 
 Q = 10
 BUDGET = 0.08
+WINDOW, STEP = 200, 100
+WHOLE_WORDS = 10
 #: Characters of items in a block.
 BLOCK_CHARS = 4 << 20
 TABLE_BITS = 22
+#: Characters of texts that are searched at a time.
+SLICE_CHARS = 1 << 19
 HIT = "array<struct<item_id:long,start:long,end:long,edits:int>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
 
@@ -64,82 +77,128 @@ def reduce(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def grams(chars: np.ndarray, q: int) -> np.ndarray:
-    n = len(chars) - q + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    p, back = textscan.powers(len(chars) + 1)
-    sums = np.zeros(len(chars) + 1, np.uint64)
-    np.cumsum(textscan.mix(chars.astype(np.uint64) + np.uint64(1)) * p[:-1], out=sums[1:])
-    return textscan.mix((sums[q:] - sums[:-q]) * back[:n])
+    """Hashes of all q-grams, made for stretches of a slice at a time."""
+    out = np.empty(max(0, len(chars) - q + 1), np.uint64)
+    for i in range(0, len(out), textscan.SLICE_BYTES - q):
+        part = chars[i : i + textscan.SLICE_BYTES - 1]
+        p, back = textscan.powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(textscan.mix(part.astype(np.uint64) + np.uint64(1)) * p[:-1], out=sums[1:])
+        n = len(part) - q + 1
+        out[i : i + n] = textscan.mix((sums[q:] - sums[:-q]) * back[:n])
+    return out
 
 
 class Items:
-    """A block of items with its q-gram table."""
+    """A block of items, cut into pieces, with a q-gram table for each q that their lengths ask for."""
 
     def __init__(self, ids: list[int], texts: list[str], q: int, budget: float) -> None:
-        self.q = q
         chars, _, starts = reduce(texts)
         self.ids = ids
-        self.items = [chars[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        # a final blank is not part of an item
-        self.items = [x[:-1] if len(x) and x[-1] == 32 else x for x in self.items]
-        size = np.array([len(x) for x in self.items], np.int64)
+        self.pieces: list[np.ndarray] = []
+        of = []
+        for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            x = chars[a:b]
+            x = x[:-1] if len(x) and x[-1] == 32 else x  # a final blank is not part of an item
+            cuts = [0] if len(x) <= WINDOW else [*range(0, len(x) - WINDOW, STEP), len(x) - WINDOW]
+            self.pieces += [x[c : c + WINDOW] for c in cuts if len(x)]
+            of += [i] * len(cuts) * bool(len(x))
+        self.of = np.array(of, np.int64)
+        size = np.array([len(x) for x in self.pieces], np.int64)
         self.edits = np.floor(budget * size).astype(np.int64)
-        self.bound = np.maximum(1, size - q + 1 - q * self.edits)
-        found = [grams(x, q) for x in self.items]
-        code = np.concatenate([*found, np.zeros(0, np.uint64)])
-        item = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        place = np.concatenate([*[np.arange(len(x)) for x in found], np.zeros(0, np.int64)]).astype(np.int64)
+        self.q = np.minimum(q, size // (self.edits + 1))
+        self.bound = size - self.q + 1 - self.q * self.edits
+        self.longest = int(size.max(initial=0))
+        self.tables = {int(n): self._table(int(n)) for n in np.unique(self.q)}
+
+    def _table(self, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(filter by the first bits, code, piece, place) of the q-grams of the pieces that take this q, by code."""
+        own = np.flatnonzero(self.q == q)
+        found = [grams(self.pieces[i], q) for i in own]
+        code = np.concatenate(found)
+        count = [len(x) for x in found]
+        piece, place = np.repeat(own, count), np.concatenate([np.arange(n) for n in count])
         order = np.argsort(code, kind="stable")
-        self.code, self.item, self.place = code[order], item[order], place[order]
-        self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[(self.code >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-
-    def search(self, texts: list[str]) -> list[list[dict]]:
-        """Verified hits of each text."""
-        out: list[list[dict]] = [[] for _ in texts]
-        chars, where, starts = reduce(texts)
-        code = grams(chars, self.q)
-        if not len(code) or not len(self.code):
-            return out
-        at = np.flatnonzero(self.table[(code >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-        left = np.searchsorted(self.code, code[at])
-        many = np.searchsorted(self.code, code[at], "right") - left
+        known = np.zeros(1 << TABLE_BITS, bool)
+        known[(code >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+        return known, code[order], piece[order], place[order]
+
+    def _regions(self, chars: np.ndarray, starts: np.ndarray, q: int) -> list[tuple[int, int, int]]:
+        """(text, piece, band) of the bands that reach the bound of their piece; of a text and piece those with most
+        q-grams first."""
+        known, codes, pieces, places = self.tables[q]
+        code = grams(chars, q)
+        at = np.flatnonzero(known[(code >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         text = np.searchsorted(starts, at, "right") - 1
-        many[at + self.q > starts[text + 1]] = 0  # a q-gram across two texts
+        at = at[at + q <= starts[text + 1]]  # else a q-gram across two texts
+        left = np.searchsorted(codes, code[at])
+        many = np.searchsorted(codes, code[at], "right") - left
         total = int(many.sum())
         if not total:
-            return out
+            return []
         within = np.arange(total) - np.repeat(np.cumsum(many) - many, many)
         entry = np.repeat(left, many) + within
-        item, text = self.item[entry], np.repeat(text, many)
-        diagonal = np.repeat(at, many) - self.place[entry] - starts[text] + len(self.table)  # never below 0
-        width = self.edits[item] + 1
-        band = diagonal // width
-        # a band is two widths wide: each q-gram counts in its own and in the one before
-        rows = np.stack([np.concatenate([text, text]), np.concatenate([item, item]), np.concatenate([band, band - 1])], 1)
-        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
-        rows = rows[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-        lead = np.flatnonzero(new)
+        at = np.repeat(at, many)
+        piece, text = pieces[entry], np.searchsorted(starts, at, "right") - 1
+        diagonal = at - places[entry] - starts[text] + self.longest  # never below 0
+        band = diagonal // (self.edits[piece] + 1)
+        # a band is two widths wide: each q-gram counts in its own and in the one before, but each of the piece's once
+        place = places[entry]
+        rows = np.stack([np.tile(text, 2), np.tile(piece, 2), np.concatenate([band, band - 1]), np.tile(place, 2)], 1)
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))][:, :3]
+        lead = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
         count = np.diff(np.append(lead, len(rows)))
-        for t, i, b in rows[lead[count >= self.bound[rows[lead, 1]]]]:
-            e, w = int(self.edits[i]), int(self.edits[i]) + 1
-            low = int(b) * w - len(self.table)
-            hit = banded(self.items[i], chars[starts[t] : starts[t + 1]], low - e, low + 2 * w + e, e)
-            if hit:
-                begin, end, edits = hit
-                place = where[starts[t] : starts[t + 1]]
-                out[t].append({"item_id": self.ids[i], "start": int(place[begin]), "end": int(place[end - 1]) + 1, "edits": edits})
-        for t, hits in enumerate(out):
-            if len(hits) > 1:  # neighbouring bands find the same passage
-                best: dict = {}
-                for h in sorted(hits, key=lambda h: (h["edits"], h["start"], h["end"])):
-                    if all(h["start"] >= o["end"] or h["end"] <= o["start"] for o in best.get(h["item_id"], [])):
-                        best.setdefault(h["item_id"], []).append(h)
-                out[t] = sorted((h for hs in best.values() for h in hs), key=lambda h: (h["start"], h["item_id"]))
-        return out
+        full = count >= self.bound[rows[lead, 1]]
+        rows, count = rows[lead[full]], count[full]
+        return [tuple(r) for r in rows[np.lexsort((rows[:, 2], -count, rows[:, 1], rows[:, 0]))].tolist()]
+
+    def search(self, texts: list[str]) -> list[list[dict]]:
+        """Verified hits of each text."""
+        found: dict[int, dict[int, list[tuple]]] = {}
+        chars, where, starts = reduce(texts)
+        for q in self.tables:
+            for t, i, b in self._regions(chars, starts, q):
+                e, piece, own = int(self.edits[i]), self.pieces[i], chars[starts[t] : starts[t + 1]]
+                low = b * (e + 1) - self.longest
+                known = found.setdefault(t, {}).setdefault(i, [])
+                if e and any(abs(h[0] - low) <= 3 * (e + 1) for h in known):
+                    continue  # a passage here would overlap one that is found
+                hit = _exact(piece, own, low, low + 2 * e + 1) or banded(piece, own, low - e, low + 2 * e + 2 + e, e)
+                if hit and (len(piece) >= WHOLE_WORDS or _stands_alone(own, *hit[:2])):
+                    known.append(hit)
+        return [self._hits(found.get(t, {}), where[starts[t] : starts[t + 1]]) for t in range(len(texts))]
+
+    def _hits(self, found: dict[int, list[tuple]], where: np.ndarray) -> list[dict]:
+        by_item: dict[int, list[tuple]] = {}
+        for i, hits in found.items():
+            best: list[tuple] = []  # neighbouring bands find the same passage
+            for h in sorted(hits, key=lambda h: (h[2], h[0], h[1])):
+                if all(h[0] >= o[1] or h[1] <= o[0] for o in best):
+                    best.append(h)
+            by_item.setdefault(int(self.of[i]), []).extend(best)
+        out = []
+        for i, hits in by_item.items():
+            whole: list[list[int]] = []
+            for begin, end, edits in sorted(hits):
+                if whole and begin < whole[-1][1]:
+                    whole[-1] = [whole[-1][0], max(end, whole[-1][1]), max(edits, whole[-1][2])]
+                else:
+                    whole.append([begin, end, edits])
+            out += [{"item_id": self.ids[i], "start": int(where[b]), "end": int(where[e - 1]) + 1, "edits": n} for b, e, n in whole]
+        return sorted(out, key=lambda h: (h["start"], h["item_id"]))
+
+
+def _exact(piece: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+    """The first place on diagonals ``low`` to ``high`` where the text has the piece unchanged."""
+    for at in range(max(0, low), min(high, len(text) - len(piece)) + 1):
+        if text[at] == piece[0] and (text[at : at + len(piece)] == piece).all():
+            return at, at + len(piece), 0
+    return None
+
+
+def _stands_alone(text: np.ndarray, begin: int, end: int) -> bool:
+    return (begin == 0 or text[begin - 1] == 32) and (end == len(text) or text[end] == 32)
 
 
 def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -192,8 +251,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[
 
 def find_items(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: float = BUDGET, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", out: str = "hits") -> DataFrame:
     """``docs`` with ``out``: the verified passages, as code point spans of the text. A column of that name is replaced."""
-    if not 0 <= budget < 1 / q:
-        raise ValueError("the bound needs a budget below 1 / q")
+    if not 0 <= budget < 1 or q < 1:
+        raise ValueError("the budget is a share below 1, and q is 1 or more")
     names = [c for c in docs.columns if c != out]
     docs = docs.select(*names)
     first = True
@@ -218,7 +277,7 @@ def _search(shared, at: int, names: list[str], out: str, first: bool):
             i = 0
             while i < len(texts):
                 j, size = i + 1, len(texts[i])
-                while j < len(texts) and size + len(texts[j]) <= textscan.SLICE_BYTES:
+                while j < len(texts) and size + len(texts[j]) <= SLICE_CHARS:
                     size += len(texts[j])
                     j += 1
                 found += items.search(texts[i:j])
