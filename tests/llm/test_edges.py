@@ -121,11 +121,11 @@ def test_mixing(spark, docs, none):
 
 
 def test_pii(spark, docs, none):
-    got = pii.pseudonymise(docs, counts=True)
+    got = pii.pseudonymise(docs, "k", counts=True)
     assert got.count() == len(ROWS) and set(got.columns) == set(docs.columns)
     same = got.join(docs.select("doc_id", F.col("text").alias("old")), "doc_id").where("not (text <=> old)")
     assert same.count() == 0
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, "k").count() == 0
 
 
 def test_passages(spark, docs, none):

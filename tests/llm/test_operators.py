@@ -1,7 +1,9 @@
 """Each operator against a plain version, a round trip or held-out accuracy."""
 
 import collections
+import datetime
 import hashlib
+import math
 import random
 import re
 
@@ -121,6 +123,17 @@ def test_op4_edits_and_order(spark, sf_dir, texts):
     assert like(0, 1) > like(0, 2) > like(0, 3) and like(0, 1) > like(0, 4) > 0 and like(5, 6) < 1
 
 
+def test_op4_without_blanks_and_short_texts(spark):
+    rng = random.Random(2)
+    han = [chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300)]
+    data = [rng.choice("abcdefghijklmnop") for _ in range(2000)]
+    words = [f"w{i}" for i in range(12)]
+    rows = [(0, "".join(han)), (1, "".join(han[:290] + ["x"] + han[291:])), (2, "".join(data)), (3, "".join(data[:1000]) + "z" * 900), (4, " ".join(words)), (5, " ".join(words[6:] + words[:6]))]
+    signed = {r.i: r.s for r in order_minhash.with_signature(spark.createDataFrame(rows, "i int, t string"), "t", "s").collect()}
+    like = lambda a, b: len(set(signed[a]) & set(signed[b])) / len({e >> 32 for e in signed[a]} | {e >> 32 for e in signed[b]})
+    assert like(0, 1) > 0.8 and 0.1 < like(2, 3) < 0.9 and 0 < like(4, 5) < 0.7
+
+
 def test_op4_signature_against_plain_version(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 120)))) for i in range(40)]
@@ -133,19 +146,23 @@ def test_op4_signature_against_plain_version(spark):
     again = {(r.h, r.n): r.x & order_minhash._HASH for r in numbered}
     want: dict = {}
     tuples = []
+    unsigned = (1 << 64) - 1
     for i, t in rows:
         w = t.split()
         ks = [(w[j], w[j + 1]) for j in range(len(w) - 1)] if len(w) > 1 else [(x, None) for x in w]
         seen: collections.Counter = collections.Counter()
-        bins = collections.defaultdict(list)
+        ring = []
         for j, g in enumerate(ks):
-            x = again[(code[g], seen[code[g]])]
+            ring.append((again[(code[g], seen[code[g]])], j))
             seen[code[g]] += 1
-            bins[(x & ((1 << 64) - 1)) >> 61].append((x, j))
+        ring.sort()
+        bins = [(x & unsigned) >> 61 for x, _ in ring]
         want[i] = {}
-        for b, xs in bins.items():
-            least = sorted(xs)[:2]
-            tup = [(x & ((1 << 64) - 1)) >> 23 for x, j in sorted(least, key=lambda z: z[1])]
+        for a, b in enumerate(bins):
+            if a and bins[a - 1] == b:
+                continue
+            least = [ring[a], ring[(a + 1) % len(ring)]]
+            tup = [(x & unsigned) >> 23 for x, j in sorted(least, key=lambda z: z[1])]
             want[i][b] = tup
             tuples.append((i, int(b), [int(v) for v in tup]))
     hashed = spark.createDataFrame(tuples, "i int, b int, t array<long>").select("i", "b", F.xxhash64("t").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h")).collect()
@@ -249,6 +266,31 @@ def test_op6_filter_false_positives_go(spark):
     assert sorted(r.page_id for r in got.where("verdict = 'block'").collect()) == list(range(300))
 
 
+def plain_copies(sizes, target):
+    """Copies wanted by size: at most 3, in proportion to the root of the length class, adding up to the target."""
+    sizes = [n for n in sizes if n]
+    appeal = {n: 2 ** (-math.floor(math.log2(n) * mixing.CLASSES) * mixing.DAMPING / mixing.CLASSES) for n in sizes}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(n * min(3, level * appeal[n]) for n in sizes) < target else (low, level)
+    return {n: round(min(3, high * appeal[n]), 9) for n in sizes}
+
+
+def test_op7_inclusion_frequencies(spark):
+    """Documents of three lengths in one source of two: extra copies come as often as their chances say."""
+    rows = [(i, "w " * (4, 25, 160)[i % 3], "a") for i in range(6000)] + [(9000 + i, "w " * 300, "b") for i in range(800)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 3)).where("source = 'a'").toPandas()
+    wants = plain_copies(list(got["size"]), got.target[0])
+    assert len({round(w % 1, 3) for w in wants.values()}) == 3  # unequal
+    for n, part in got.groupby("size"):
+        chance = wants[n] % 1
+        extra = part.copies - math.floor(wants[n])
+        assert set(extra) <= {0, 1}
+        assert abs(extra.mean() - chance) <= 4 * (chance * (1 - chance) / len(part)) ** 0.5 + 0.005
+    assert abs(got.taken.sum() - got.target[0]) <= 80
+
+
 def test_op7_targets_and_order(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.choice([0, 3, 10, 40])), rng.choice(["b", "a", "\u00e9", None, "c"])) for i in range(500)] + [(900, "w " * 5, "tiny")]
@@ -276,17 +318,14 @@ def test_op7_targets_and_order(spark):
     for s, part in got.groupby("source", dropna=False):
         s = s if isinstance(s, str) else None
         assert part.target.iloc[0] == pytest.approx(target[s]) and part.source_size.iloc[0] == sizes[s]
-        whole = int(target[s] // sizes[s])
-        rest, chance, done = target[s] - whole * sizes[s], target[s] / sizes[s] - whole, 0
-        want = {}
-        order = sorted(part.itertuples(), key=lambda r: (random_of[(r.doc_id, r.text_hash)] / (1 - random_of[(r.doc_id, r.text_hash)])) / (chance / (1 - chance)) if chance > 0 else 0)
-        for r in order:
-            if not r.size:
-                want[r.doc_id] = 0
-                continue
-            more = chance > 0 and done + r.size / 2 <= rest
+        wants = plain_copies([r.size for r in part.itertuples()], target[s])
+        rest = target[s] - sum(r.size * math.floor(wants[r.size]) for r in part.itertuples() if r.size)
+        want, done = {r.doc_id: r.size * math.floor(wants.get(r.size, 0)) for r in part.itertuples()}, 0
+        odds = lambda p: p / (1 - p)
+        drawn = [r for r in part.itertuples() if r.size and wants[r.size] % 1 > 0]
+        for r in sorted(drawn, key=lambda r: odds(random_of[(r.doc_id, r.text_hash)]) / odds(wants[r.size] % 1)):
+            want[r.doc_id] += r.size * (done + r.size / 2 <= rest)
             done += r.size
-            want[r.doc_id] = r.size * (whole + more)
         assert {r.doc_id: r.taken for r in part.itertuples()} == want
         assert abs(part.taken.sum() - target[s]) <= part["size"].max() / 2 + 1e-6
     again = mixing.mix_sources(docs.repartition(7)).toPandas()
@@ -298,36 +337,95 @@ def luhn(text):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
 
 
-PRIVATE = ["4111 1111 1111 1111", "378282246310005", "+1 (212) 555-1234", "1-212-555-1234", "(212) 555-1234", "10.0.0.1", "255.255.255.255", "123-45-6789", "2021-02-28", "12/31/1999", "31.12.2050", "a.b+C9@x.example.org", "0123456789abcdef0123456789abcdef01234567"]
-PUBLIC = ["4111 1111 1111 1112", "000-45-6789", "2021-02-30", "10.0.0.256", "1.2.3.4.5", "12345", "version 1.2.3", "x@y", "99/99/1999", "deadbeef"]
+PRIVATE = ["4111 1111 1111 1111", "378282246310005", "+1 (212) 555-1234", "1-212-555-1234", "(212) 555-1234", "10.0.0.1", "255.255.255.255", "123-45-6789", "2021-02-28", "12/31/1999", "31.12.2050", "a.b+C9@x.example.org", "0123456789abcdef0123456789abcdef01234567", "0123456789ABCDEF0123456789ABCDEF01234567", "212 555 0199", "+1 (017) 155-1234", "(103) 555-1234"]
+PUBLIC = ["112 555 0199", "212 055 0199", "010.1.1.1", "4111 111 1111 11", "4111 1111 1111 1112", "000-45-6789", "2021-02-30", "10.0.0.256", "1.2.3.4.5", "12345", "version 1.2.3", "x@y", "99/99/1999", "deadbeef"]
 
 
 def test_op8_round_trip_and_format(spark):
     text = "; ".join([*PRIVATE, *PUBLIC])
     docs = spark.createDataFrame([(1, text), (2, "at the end 10.0.0.1"), (3, "10.0.0.1###")], "doc_id long, text string")
-    made = pii.pseudonymise(docs, counts=True).orderBy("doc_id").collect()
+    made = pii.pseudonymise(docs, "k", counts=True).orderBy("doc_id").collect()
     parts = made[0].text.split("; ")
     assert made[0].pii_found == len(PRIVATE) and parts[len(PRIVATE) :] == PUBLIC
     for old, new in zip(PRIVATE, parts, strict=False):
         assert old != new
         shape = lambda v: re.sub(r"[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", v)))
-        if not re.fullmatch(r"\d+(\.\d+){3}", old) and len(old) != 40:
+        if len(old) != 40:
             assert shape(old) == shape(new)
+    secret, loud = (v for v in parts if len(v) == 40)
+    assert secret.upper() == loud and re.fullmatch("[0-9a-f]{40}", secret)
     assert luhn(parts[0]) and luhn(parts[1])
     phones = [re.sub(r"\D", "", p)[-10:] for p in parts[2:5]]
     assert len(set(phones)) == 1
     assert made[1].text.split()[-1] == made[2].text.removesuffix("###") == parts[5]
-    back = pii.pseudonymise(spark.createDataFrame([(1, made[0].text)], "doc_id long, text string"), undo=True).first()
+    back = pii.pseudonymise(spark.createDataFrame([(1, made[0].text)], "doc_id long, text string"), "k", undo=True).first()
     assert back.text == text
-    other = pii.pseudonymise(docs, key="another").first()
+    other = pii.pseudonymise(docs, "another").first()
     assert other.text != made[0].text
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, "")
+
+
+def plain_feistel(left, right, a, b, key, kind):
+    for n in range(pii.ROUNDS):
+        noise = lambda other: int(hashlib.sha256(f"{key}|{kind}|{n}|{other}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        if n % 2 == 0:
+            left = (left + noise(right) % a) % a
+        else:
+            right = (right + noise(left) % b) % b
+    return left, right
+
+
+def plain_pseudonym(value, key):
+    """Numbers only, from the definition of their domains."""
+    digits = re.sub("[^0-9]", "", value)
+    if re.fullmatch(r"\d+(\.\d+){3}", value):
+        o = [int(x) for x in value.split(".")]
+        low = [0 if x < 10 else 10 if x < 100 else 100 for x in o]
+        many = [{0: 10, 10: 90, 100: 156}[x] for x in low]
+        x = [v - w for v, w in zip(o, low, strict=True)]
+        l, r = plain_feistel(x[0] * many[1] + x[1], x[2] * many[3] + x[3], many[0] * many[1], many[2] * many[3], key, "address")
+        return ".".join(str(v + w) for v, w in zip((l // many[1], l % many[1], r // many[3], r % many[3]), low, strict=True))
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", value):
+        areas = [x for x in range(1, 900) if x != 666]
+        l, r = plain_feistel(areas.index(int(value[:3])) * 99 + int(value[4:6]) - 1, int(value[7:]) - 1, 898 * 99, 9999, key, "ssn")
+        return f"{areas[l // 99]:03d}-{l % 99 + 1:02d}-{r + 1:04d}"
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", value):
+        day = (datetime.date.fromisoformat(value) - datetime.date(1900, 1, 1)).days
+        l, r = plain_feistel(day // 229, day % 229, 319, 229, key, "date")
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(l * 229 + r))
+    if len(digits) >= 13:
+        half = (len(digits) - 1) // 2
+        l, r = plain_feistel(int(digits[:half]), int(digits[half:-1]), 10**half, 10 ** (len(digits) - 1 - half), key, "card")
+        body = f"{l:0{half}d}{r:0{len(digits) - 1 - half}d}"
+        out = next(body + c for c in "0123456789" if luhn(body + c))
+    else:
+        area, exchange, line = int(digits[-10:-7]), int(digits[-7:-4]), int(digits[-4:])
+        (la, na), (le, ne) = ((200, 800) if x >= 200 else (0, 200) for x in (area, exchange))
+        l, r = plain_feistel((area - la) * ne + exchange - le, line, na * ne, 10_000, key, "phone")
+        out = digits[:-10] + f"{l // ne + la:03d}{l % ne + le:03d}{r:04d}"
+    taken = iter(out)
+    return "".join(next(taken) if c.isdigit() else c for c in value)
+
+
+def test_op8_equals_plain_feistel(spark):
+    rng = random.Random(6)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    values = [f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(60)]
+    values += [f"{rng.choice([1, 665, 667, 899]):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}" for _ in range(40)]
+    values += [str(datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73048))) for _ in range(40)]
+    values += [f"+1 ({d(3)}) {d(3)}-{d(4)}" for _ in range(60)] + [v for v in (f"{d(3)}-{d(3)}-{d(4)}" for _ in range(60)) if v[0] > "1" and v[4] > "1"]
+    values += [next(body + c for c in "0123456789" if luhn(body + c)) for body in (d(rng.randrange(12, 19)) for _ in range(40))]
+    got = pii.pseudonymise(spark.createDataFrame([(i, f"see {v}, and") for i, v in enumerate(values)], "doc_id long, text string"), "key").orderBy("doc_id").collect()
+    for v, r in zip(values, got, strict=True):
+        assert r.text == f"see {plain_pseudonym(v, 'key')}, and", v
 
 
 def test_op8_permutes_whole_domains(spark):
     small = spark.range(6 * 5).select(pii.feistel(F.floor(F.col("id") / 5), F.col("id") % 5, 6, 5, "k", "t").alias("p")).collect()
     assert sorted((r.p.l, r.p.r) for r in small) == [(a, b) for a in range(6) for b in range(5)]
     days = spark.range(pii.DAYS[0] * pii.DAYS[1]).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d")).where("pmod(xxhash64(d), 20) = 0")
-    got = days.select(pii.pseudonym(F.col("d")).alias("p"), "d").collect()
+    got = days.select(pii.pseudonym(F.col("d"), "k").alias("p"), "d").collect()
     assert len({r.p for r in got}) == len(got) and min(r.p for r in got) >= "1900-01-01" and max(r.p for r in got) <= "2099-12-31"
 
 
