@@ -15,7 +15,7 @@ from rowstream.llm.common import written
 from rowstream.llm.decontam import drop_contaminated
 from rowstream.llm.mixing import mixture
 from rowstream.llm.neardup import drop_near_duplicates
-from rowstream.llm.pii import pseudonymise
+from rowstream.llm.pii import pseudonymise, session_key
 from rowstream.llm.quality import select_quality
 
 
@@ -35,8 +35,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced and their length counted anew (addresses may change theirs)."""
-    made = pseudonymise(docs)
+    """All documents, with personal data replaced; the length is counted anew."""
+    made = pseudonymise(docs, session_key(spark))
     return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
 
 
