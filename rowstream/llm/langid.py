@@ -12,6 +12,8 @@ read, drawn by a hash of the id; the table's size is fixed, so what reaches the
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was
 learned. Ties go to the language that comes first by code point. An id that is null is not held out nor learned from.
+Rows that repeat are predicted alike, and each is learned from. Only the named columns are read, so others may have any
+names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ reaches the driver. Scoring reads every row.
 
 Defined results: a null or blank text has no features and is scored by the thresholds alone. Of several ratings for an
 id, the lowest counts; ratings that are null are passed over. Without any rating, or with one grade only, nothing can be
-learned: every row gets that grade (the highest, if there is none) and is selected if it is the highest.
+learned: every row gets that grade (the highest, if there is none) and is selected if it is the highest. Rows that
+repeat are scored alike; rated rows that repeat an id count each.
 """
 
 from __future__ import annotations
@@ -88,6 +89,31 @@ class Model:
         return np.bincount(row, self.weights[place] * value, part.n)
 
 
+def _thresholds(ends: np.ndarray) -> np.ndarray:
+    """The first threshold and the logarithms of the gaps to thresholds."""
+    return ends[0] + np.concatenate([[0], np.cumsum(np.exp(ends[1:]))])
+
+
+def loss_and_gradient(theta: np.ndarray, row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood plus the weights' decay, and its gradient. ``theta``: the weights, then the first
+    threshold and the logarithms of the gaps."""
+    n, features_used = len(grade), len(theta) - grades + 1
+    w, ends = theta[:features_used], theta[features_used:]
+    z = np.bincount(row, w[place] * value, n)
+    tail = 1 / (1 + np.exp(-np.clip(z[:, None] - _thresholds(ends)[None, :], -40, 40)))
+    full = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
+    p = np.maximum(full[np.arange(n), grade] - full[np.arange(n), grade + 1], 1e-9)
+    slope = full * (1 - full)
+    up, down = slope[np.arange(n), grade], slope[np.arange(n), grade + 1]
+    dt = np.zeros((n, grades + 1))
+    dt[np.arange(n), grade] += up / p / n
+    dt[np.arange(n), grade + 1] -= down / p / n
+    by_threshold = dt[:, 1:grades].sum(axis=0)
+    after = np.cumsum(by_threshold[::-1])[::-1]
+    dw = np.bincount(place, ((down - up) / p / n)[row] * value, features_used) + DECAY * w
+    return float(-np.log(p).mean() + DECAY * (w @ w) / 2), np.concatenate([dw, after[:1], after[1:] * np.exp(ends[1:])])
+
+
 def fit_arrays(at: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int) -> Model:
     """Fit by full-batch Adam. Row i has the features from at[i] to at[i + 1]."""
     n = len(grade)
@@ -104,29 +130,14 @@ def fit_arrays(at: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.n
     theta = np.concatenate([np.zeros(len(used)), base[:1], gaps])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        w, low, gap = theta[: len(used)], theta[len(used)], np.exp(theta[len(used) + 1 :])
-        thresholds = low + np.concatenate([[0], np.cumsum(gap)])
-        z = np.bincount(row, w[place] * value, n)
-        tail = 1 / (1 + np.exp(-np.clip(z[:, None] - thresholds[None, :], -40, 40)))
-        full = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
-        p = np.maximum(full[np.arange(n), grade] - full[np.arange(n), grade + 1], 1e-9)
-        slope = full * (1 - full)
-        up, down = slope[np.arange(n), grade], slope[np.arange(n), grade + 1]
-        dz = (up - down) / p / n
-        dt = np.zeros((n, grades + 1))
-        dt[np.arange(n), grade] -= up / p / n
-        dt[np.arange(n), grade + 1] += down / p / n
-        by_threshold = dt[:, 1:grades].sum(axis=0)
-        grad = np.concatenate([np.bincount(place, dz[row] * value, len(used)), [by_threshold.sum()], np.cumsum(by_threshold[::-1])[::-1][1:] * gap])
-        grad = -grad
-        grad[: len(used)] += DECAY * w
+        _, grad = loss_and_gradient(theta, row, place, value, grade, grades)
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         rate = RATE * (1 - step / (STEPS + 1)) ** 0.5
         theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
     weights = np.zeros(1 << BITS)
     weights[used] = theta[: len(used)]
-    return Model(weights, theta[len(used)] + np.concatenate([[0], np.cumsum(np.exp(theta[len(used) + 1 :]))]))
+    return Model(weights, _thresholds(theta[len(used) :]))
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +168,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_train_rows: in
     return fit_arrays(at, np.asarray(places.flatten()), np.asarray(found.column("value").combine_chunks().flatten()).astype(float), grade, grades)
 
 
-def score(docs: DataFrame, model: Model | int, grades: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with expected_grade (0 to G-1) and tail_prob, the chance of the highest grade; columns of those names are replaced."""
+def score(docs: DataFrame, model: Model | int, grades: int = 3, text_col: str = "text", out: tuple[str, str] = ("expected_grade", "tail_prob")) -> DataFrame:
+    """``docs`` with the expected grade (0 to G-1) and the chance of the highest grade; columns named ``out`` are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("expected_grade", "tail_prob")]
+    names = [c for c in docs.columns if c not in out]
     kept = docs.select(*names)
     at = names.index(text_col)
 
@@ -175,9 +186,9 @@ def score(docs: DataFrame, model: Model | int, grades: int = 3, id_col: str = "d
                     tails = known.tails(known.latent(part))
                     rows = slice(part.first, part.first + part.n)
                     expected[rows], tail[rows] = tails.sum(axis=1), tails[:, -1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], [*names, "expected_grade", "tail_prob"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], [*names, *out])
 
-    schema = StructType(list(kept.schema.fields)).add("expected_grade", DoubleType()).add("tail_prob", DoubleType())
+    schema = StructType(list(kept.schema.fields)).add(out[0], DoubleType()).add(out[1], DoubleType())
     return kept.mapInArrow(run, schema)
 
 
@@ -186,7 +197,8 @@ def rating(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, least_tail: float = 0.5, **options) -> DataFrame:
-    """``docs`` without the rows whose chance of the highest grade is below ``least_tail``."""
-    model = fit(docs, rating(labels), **options)
-    return score(docs, model).where(F.col("tail_prob") >= least_tail).select(*docs.columns)
+def select_quality(docs: DataFrame, labels: DataFrame, least_tail: float = 0.5, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose chance of the highest grade is below ``least_tail``; all columns stay as they are."""
+    model = fit(docs, rating(labels), text_col=text_col, **options)
+    scored = score(docs, model, text_col=text_col, out=("__expected", "__tail"))
+    return scored.where(F.col("__tail") >= least_tail).select(*docs.columns)

@@ -10,7 +10,8 @@ are spans of the same text, so a sorted search joins the two. A token that cross
 
 Counts of sections add up to the document's under each rule. Spans are given in code points.
 
-Defined results: a null or empty text has one section, 0 to 0, without tokens. Texts may be of any length.
+Defined results: a null or empty text has one section, 0 to 0, without tokens. Texts may be of any length. Rows that
+repeat an id or a whole row are counted each by itself. Only the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ label count and path length in the list. Keys first probe a blocked Bloom filter
 passes meets the rules in an exact hash join, which removes the filter's false positives.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule. Of a rule listed twice, the
-one that blocks holds. Equal URLs get equal verdicts; every input row gives one output row.
+one that blocks holds. Equal URLs get equal verdicts; every input row gives one output row. Only the named columns are
+read, so others may have any names.
 """
 
 from __future__ import annotations
