@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, fields, replace
 from typing import Any
@@ -102,6 +103,16 @@ def cluster_entry(topology: Iterable[Mapping[str, Any]], name: str, replica: str
     return None
 
 
+def is_set(name: str, env: Mapping[str, str] | None = None) -> bool:
+    """Whether an environment variable is there, be it empty."""
+    return name in (os.environ if env is None else env)
+
+
+def server_id() -> int:
+    """A random id for a reader of a source, from 1 to 2^32 - 1."""
+    return secrets.randbelow((1 << 32) - 1) + 1
+
+
 def unlist(values: list) -> Any:
     """Nothing, or the only element; more are an error."""
     if len(values) > 1:

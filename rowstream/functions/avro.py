@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Mapping
 from typing import Any
@@ -73,3 +74,18 @@ def transaction_record(gtid: bool) -> dict[str, Any]:
 
 def changelog_record() -> dict[str, Any]:
     return {"type": "record", "name": "changelog", "fields": [{"name": "table_schema", "type": "string"}, {"name": "table_name", "type": "string"}, {"name": "id", "type": "int"}]}
+
+
+def load(path: str) -> dict[str, Any]:
+    """A record from a file, JSON or YAML; it must have a name and fields."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        found = yaml.safe_load(text)
+    else:
+        found = json.loads(text)
+    if not isinstance(found, dict) or found.get("type") != "record" or not found.get("name") or not isinstance(found.get("fields"), list):
+        raise ValueError(f"{path} holds no record")
+    return found

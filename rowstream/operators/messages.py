@@ -29,6 +29,9 @@ def message_key(image: Column, primary_key: Column) -> Column:
 
 
 def log_transaction(cluster: str, log_file: Column, log_pos: Column) -> Column:
+    """A transaction's id by place. A cluster that is no text is an error; so is a place that is no number, by its cast."""
+    if not isinstance(cluster, str):
+        raise TypeError("the cluster's name must be text")
     return F.struct(F.lit(cluster).alias("cluster_name"), log_file.cast("string").alias("log_file"), log_pos.cast("long").alias("log_pos"))
 
 

@@ -32,17 +32,16 @@ def recovery_window(events: DataFrame, config: StreamConfig, stop: Column, order
     """The data events to replay: those up to the first supported statement (left out) or the first event that has
     caught up (kept), whichever comes first, and no more than the queue holds.
 
-    ``stop`` is true for events that have caught up. Where to end is found with two aggregates, and only the first
-    ``recovery_queue_size`` rows before it are sorted, as a top-k.
+    ``stop`` is true for events that have caught up. Where to end is found with two aggregates over the same exchange
+    that the events come from, and only the first ``recovery_queue_size`` rows before it are sorted, as a top-k.
     """
     key = F.struct(*order)
     ddl = F.coalesce((F.col("kind") == "query") & ~skippable(F.col("query")), F.lit(False))
-    ends = events.agg(F.min(F.when(ddl, key)).alias("ddl"), F.min(F.when(is_row() & stop, key)).alias("caught")).first()
+    # a scalar subquery: the events are brought in place once for both
+    ends = F.struct(F.min(F.when(ddl, key)).alias("ddl"), F.min(F.when(is_row() & stop, key)).alias("caught"))
+    end = events.agg(ends.alias("end")).scalar()
     rows = drop_blacklisted(events.where(is_row()), config)
-    for name, strict in (("ddl", True), ("caught", False)):
-        if ends[name] is not None:
-            end = F.struct(*[F.lit(ends[name][c]).cast(events.schema[c].dataType).alias(c) for c in order])
-            rows = rows.where(key < end if strict else key <= end)
+    rows = rows.where((end["ddl"].isNull() | (key < end["ddl"])) & (end["caught"].isNull() | (key <= end["caught"])))
     return rows.orderBy(*order).limit(config.recovery_queue_size)
 
 

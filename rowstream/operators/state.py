@@ -42,6 +42,11 @@ def offsets_map(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.groupBy("cluster_name").agg(F.map_from_entries(pairs).alias("offsets"))
 
 
+def last_created(checkpoints: DataFrame, cluster: str) -> DataFrame:
+    """The offset of a cluster that was inserted last, as a top-k; of those inserted together, the first topic's."""
+    return checkpoints.where(F.col("cluster_name") == cluster).orderBy(F.desc("time_created"), "topic").limit(1)
+
+
 class StateStore:
     """State tables in a folder. A save writes a new generation and then a pointer to it under the next number; readers
     take the pointer of the highest number. Nothing is changed in place, so a failure at any point leaves the generation
@@ -139,9 +144,8 @@ class StateStore:
         return self.read("statements").where(F.col("cluster_name") == cluster)
 
     def latest_checkpoint(self, cluster: str):
-        """The topic offset that changed last, or None."""
-        rows = self.read("checkpoints").where(F.col("cluster_name") == cluster).orderBy(F.desc("time_updated"), F.desc("time_created"), "topic")
-        return rows.first()
+        """The topic offset that was inserted last, or None."""
+        return last_created(self.read("checkpoints"), cluster).first()
 
     def dump_exists(self, cluster: str) -> bool:
         return not self.read("dumps").where(F.col("cluster_name") == cluster).limit(1).isEmpty()

@@ -6,6 +6,10 @@ engines' values compare.
 
 from __future__ import annotations
 
+import json
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +18,9 @@ from pyspark.sql import functions as F
 from rowstream.config import StreamConfig
 from rowstream.functions import dates, ddl, position, types
 from rowstream.operators import catalog, filters, heartbeat, messages, metrics, normalize, positioning, recovery, state
+from rowstream.schema import BASE_TABLE, ORDER, RAW_EVENT
 from rowstream.sources.simulated import LOG_SQL, change_log, gtid_log
+from rowstream.streaming.pipeline import ChangeStream, prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -74,6 +80,13 @@ def binlog_scan_allowed(spark, sf_dir):
     return normalize.admit(change_log(spark, sf_dir)).select("seq", "kind", "log_file", "log_pos")
 
 
+@query(f"WITH {SIM} x AS (SELECT 1) SELECT seq FROM sim WHERE seq % 4 > 1")
+def none_event_filter(spark, sf_dir):
+    nth = F.col("seq") % 4  # events without a kind, and of a kind that no stream carries
+    log = change_log(spark, sf_dir).withColumn("kind", F.when(nth == 1, "rotate").when(nth > 1, F.col("kind")))
+    return normalize.admit(log).select("seq")
+
+
 @query(f"WITH {SIM} x AS (SELECT 1) SELECT seq, kind, db, tbl FROM sim WHERE kind = 'query' OR tbl IN ('t1', 't1_data_pipeline_refresh', 't3', 't3_data_pipeline_refresh') OR db = 'heartbeat'")
 def table_whitelist(spark, sf_dir):
     config = CONFIG.with_(table_whitelist=("t1", "t3", "t4_data_pipeline_refresh"))
@@ -241,6 +254,12 @@ def late_blacklist_alter(spark, sf_dir):
     return filters.drop_blacklisted(log, CONFIG).select("seq")
 
 
+@query(f"WITH {SIM} x AS (SELECT 1) SELECT seq, db FROM sim WHERE db <> 'mysql'")
+def reserved_databases(spark, sf_dir):
+    log = change_log(spark, sf_dir).where(~filters.blacklisted(F.col("db"), CONFIG))
+    return log.select("seq", filters.assert_not_reserved(F.col("db")).alias("db"))
+
+
 @query(f"WITH {SIM} x AS (SELECT 1) SELECT seq, query FROM sim WHERE kind = 'query' AND query NOT IN ('BEGIN', 'COMMIT', 'USE shop')")
 def skippable_queries(spark, sf_dir):
     return filters.schema_events(change_log(spark, sf_dir)).select("seq", "query")
@@ -249,7 +268,7 @@ def skippable_queries(spark, sf_dir):
 def _statements(spark, sf_dir) -> DataFrame:
     """Statements of all kinds with names from the tables spliced in."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
-    k, name = F.col("p_partkey") % 10, F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    k, name = F.col("p_partkey") % 11, F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
     text = F.lit("DROP TRIGGER x")
     for i, (head, tail) in enumerate(_FORMS):
         text = F.when(k == i, F.concat(F.lit(head), name, F.lit(tail))).otherwise(text)
@@ -266,15 +285,16 @@ _FORMS = (
     ("DROP INDEX i ON ", ""),
     ("RENAME TABLE ", " TO y"),
     ("alter table `x` rename to ", ""),
+    ("ALTER SCHEMA ", " CHARACTER SET utf8"),
 )
 _STATEMENTS_SQL = (
-    "q AS (SELECT p_partkey, CASE p_partkey % 10 "
+    "q AS (SELECT p_partkey, CASE p_partkey % 11 "
     + " ".join(f"WHEN {i} THEN '{head}' || 'p' || p_partkey || '{tail}'" for i, (head, tail) in enumerate(_FORMS))
     + " ELSE 'DROP TRIGGER x' END AS query FROM part)"
 )
 
 
-@query(f"WITH {_STATEMENTS_SQL} SELECT p_partkey, {_KIND_SQL} AS kind, p_partkey % 10 IN (7, 8) AS renames, p_partkey % 10 <> 9 AS supported FROM q")
+@query(f"WITH {_STATEMENTS_SQL} SELECT p_partkey, {_KIND_SQL} AS kind, p_partkey % 11 IN (7, 8) AS renames, p_partkey % 11 <> 10 AS supported FROM q")
 def ddl_classify(spark, sf_dir):
     q = _statements(spark, sf_dir)
     kind = ddl.ddl_kind(F.col("query"))
@@ -282,8 +302,8 @@ def ddl_classify(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_STATEMENTS_SQL} SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'db1' WHEN 2 THEN 'db2' END AS db,
-CASE WHEN p_partkey % 10 IN (0, 1, 2) THEN 'p' || p_partkey WHEN p_partkey % 10 = 8 THEN 'x' END AS tbl FROM q"""
+    f"""WITH {_STATEMENTS_SQL} SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN 'db1' WHEN 2 THEN 'db2' END AS db,
+CASE WHEN p_partkey % 11 IN (0, 1, 2) THEN 'p' || p_partkey WHEN p_partkey % 11 = 8 THEN 'x' END AS tbl FROM q"""
 )
 def ddl_table_name(spark, sf_dir):
     return _statements(spark, sf_dir).withColumn("t", ddl.ddl_target(F.col("query"))).select("p_partkey", "t.db", "t.tbl")
@@ -332,11 +352,14 @@ def type_map_filter(spark, sf_dir):
     return n.select("n_nationkey", F.explode(types.transform_map(F.col("m"))).alias("c", "column_type")).select("n_nationkey", "column_type")
 
 
-@query("SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS epoch, (epoch(o_orderdate) // 86400)::BIGINT AS days, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+@query("SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS epoch, (epoch(o_orderdate) // 86400)::BIGINT AS days, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 5 = 0 THEN 9223372036854775807 ELSE epoch(o_orderdate)::BIGINT // 86400 * 86400 END AS ends, true AS whole FROM orders")
 def date_helpers(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     e = dates.to_epoch(F.col("o_orderdate"))
-    return o.select("o_orderkey", e.alias("epoch"), F.floor(dates.date_to_epoch(dates.epoch_to_date(e)) / 86400).alias("days"), F.date_format(dates.from_epoch(e), "yyyy-MM-dd").alias("day"))
+    return o.select(
+        "o_orderkey", e.alias("epoch"), F.floor(dates.date_to_epoch(dates.epoch_to_date(e)) / 86400).alias("days"), F.date_format(dates.from_epoch(e), "yyyy-MM-dd").alias("day"),
+        dates.date_to_epoch(F.when(F.col("o_orderkey") % 5 == 0, F.lit("9999-12-31").cast("date")).otherwise(dates.epoch_to_date(e))).alias("ends"), (F.unix_micros(dates.now_in_seconds()) % 1_000_000 == 0).alias("whole"),
+    )
 
 
 # --- messages ------------------------------------------------------------------------------------------------------
@@ -593,6 +616,105 @@ def offsets_map(spark, sf_dir):
     return m.select("cluster_name", F.array_join(pairs, ",").alias("offsets"))
 
 
+def _shared_folder(spark) -> str:
+    """A folder of its own that the driver and all executors reach."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="rowstream-")
+    return f"{base}/catalogue-{uuid.uuid4().hex}"
+
+
+_TABLE_STATE = "SELECT tbl, max(seq) AS last, count(*) AS n FROM sim"
+
+
+@query(
+    f"""WITH {SIM} half AS (SELECT (min(seq) + max(seq)) // 2 AS at FROM sim), o AS ({_TABLE_STATE}, half WHERE seq <= half.at GROUP BY tbl), n AS ({_TABLE_STATE} WHERE tbl <> 't3' GROUP BY tbl)
+SELECT coalesce(n.tbl, o.tbl) AS cluster_name, coalesce(n.last, o.last)::VARCHAR AS position, coalesce(n.n, o.n)::BIGINT AS topic_offset, n.n IS NULL AS is_clean_shutdown FROM o FULL JOIN n ON o.tbl = n.tbl"""
+)
+def state_store(spark, sf_dir):
+    """Two saves of state and offsets together, read back by cluster."""
+    store = state.StateStore(spark, f"{_shared_folder(spark)}/state")
+    log = change_log(spark, sf_dir)
+    middle = log.agg(F.floor((F.min("seq") + F.max("seq")) / 2).alias("at")).first()["at"]
+    for rows, clean, now in ((log.where(F.col("seq") <= middle), True, 1), (log.where("tbl <> 't3'"), False, 2)):
+        reached = rows.groupBy("tbl").agg(F.max("seq").alias("last"), F.count("*").alias("n"))
+        none = F.lit(None).cast("string")
+        states = reached.select(F.col("tbl").alias("cluster_name"), F.col("last").cast("string").alias("position"), F.lit(clean).alias("is_clean_shutdown"), F.lit("data_event").alias("event_type"), none.alias("database_name"), none.alias("table_name"), F.lit(now).cast("long").alias("time_updated"))
+        offsets = reached.select(F.col("tbl").alias("cluster_name"), F.lit("t").alias("topic"), F.col("n").alias("topic_offset"))
+        store.save(global_state=state.upsert_global_state(store.read("global_state"), states), checkpoints=state.upsert_offsets(store.read("checkpoints"), offsets, F.lit(now)))
+    both = store.read("global_state").join(store.read("checkpoints"), "cluster_name")
+    return both.select("cluster_name", "position", "topic_offset", "is_clean_shutdown")
+
+
+@query(f"WITH {SIM} x AS (SELECT 1) SELECT tbl AS topic, max(seq)::BIGINT AS topic_offset FROM sim GROUP BY tbl ORDER BY max(seq) DESC LIMIT 1")
+def latest_checkpoint(spark, sf_dir):
+    store = state.StateStore(spark, f"{_shared_folder(spark)}/state")
+    reached = change_log(spark, sf_dir).groupBy("tbl").agg(F.max("seq").alias("last"))
+    rows = reached.select(F.lit("source").alias("cluster_name"), F.col("tbl").alias("topic"), F.col("last").alias("topic_offset"), F.col("last").alias("time_created"), F.col("last").alias("time_updated"))
+    store.save(checkpoints=rows)
+    return state.last_created(store.read("checkpoints"), "source").select("topic", "topic_offset")
+
+
+@query(
+    f"""WITH c AS ({_CATALOG_SQL}) SELECT db, tbl, string_agg(column_name || ' ' || column_type, ',' ORDER BY column_name) AS columns,
+coalesce(string_agg(column_name, ',' ORDER BY ordinal_position) FILTER (WHERE column_key = 'PRI'), '') AS keys FROM c WHERE db <> 'mysql' GROUP BY db, tbl"""
+)
+def schema_dump_restore(spark, sf_dir):
+    """A catalog that was dumped, stored, replaced and restored."""
+    store = state.StateStore(spark, f"{_shared_folder(spark)}/state")
+    columns = _catalog(spark, sf_dir)
+    keys = F.transform(F.array_sort(F.collect_list(F.when(F.col("column_key") == "PRI", F.struct("ordinal_position", "column_name")))), lambda k: k["column_name"])
+    tables = catalog.column_types(columns).join(columns.groupBy("db", "tbl").agg(keys.alias("primary_key")), ["db", "tbl"])
+    for rows in (tables.limit(3), tables.where("db <> 'mysql'")):
+        dump = state.SchemaDump(store, "source")
+        dump.create(rows)
+        dump.persist()
+    back = state.SchemaDump(store, "source").restore(BASE_TABLE)
+    pairs = F.array_sort(F.transform(F.map_entries("column_types"), lambda e: F.concat(e["key"], F.lit(" "), e["value"])))
+    return back.select("db", "tbl", F.array_join(pairs, ",").alias("columns"), F.array_join("primary_key", ",").alias("keys"))
+
+
+def _raw(log: DataFrame) -> DataFrame:
+    """The log as it is captured, with a row of images for each row event."""
+    beat = F.to_json(F.struct(F.col("hb_serial").alias("serial"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp")))
+    after = F.when(F.col("hb_serial").isNotNull(), beat).otherwise(F.col("after_image"))
+    write = F.col("kind") == "write"
+    row = F.struct(F.when(write, after).alias("values"), F.col("before_image").alias("before_values"), F.when(~write, after).alias("after_values"))
+    rows = F.when(F.col("kind") != "query", F.array(row))
+    parts = [F.col(f.name) if f.name in log.columns else F.lit("source").cast(f.dataType).alias(f.name) for f in RAW_EVENT.fields if f.name != "rows"]
+    return log.select(*[p.cast(f.dataType).alias(f.name) for p, f in zip(parts, RAW_EVENT.fields, strict=False)], rows.alias("rows"))
+
+
+_REPLAYED_SQL = f"""{_POSITIONED},
+saved AS (SELECT ({_SAVED_MARK}) AS pos),
+wanted AS (SELECT p.* FROM positioned p, saved WHERE kind <> 'query' AND db <> 'mysql' AND (log_file > '{_SAVED_FILE}' OR log_pos >= saved.pos)
+  AND NOT (pos_file = '{_SAVED_FILE}' AND pos_log_pos = saved.pos AND pos_offset <= {_SAVED_OFFSET}) ORDER BY seq LIMIT 40)"""
+
+
+@query(f"WITH {_REPLAYED_SQL} SELECT log_file, log_pos, 'main.source.' || db || '.' || base AS topic FROM wanted WHERE seq % 3 <> 0")
+def restart_replay(spark, sf_dir):
+    """After an unclean stop: of the recovery window behind the saved position, the messages that no topic holds yet."""
+    log = change_log(spark, sf_dir)
+    config = CONFIG.with_(recovery_queue_size=40, producer_buffer_size=40)
+    # statements that name no table change stay, so that offsets count them, but end no window
+    log = log.withColumn("query", F.when(F.col("kind") == "query", "BEGIN"))
+    marks = log.where(positioning.is_marker(config) & (F.col("log_file") == _SAVED_FILE))
+    at = marks.agg(F.max("log_pos")).first()[0]
+    folder = _shared_folder(spark)
+    store = state.StateStore(spark, f"{folder}/state")
+    store.save_position("source", json.dumps({"log_file": _SAVED_FILE, "log_pos": at, "offset": _SAVED_OFFSET}), {}, 1, clean=False, db="shop", tbl="t1")
+    raw = _raw(log)
+    placed = positioning.assign_positions(prepared(raw, config), config)
+    known = log.where("seq % 3 = 0").select("log_file", "log_pos")
+    messages.write_topics(messages.data_messages(placed.join(known, ["log_file", "log_pos"], "left_semi"), config, keep=ORDER), f"{folder}/topics", 0, "before")
+    stream = ChangeStream(spark, config, store, f"{folder}/topics")
+    stream.resume()
+    stream.recover(raw)
+    return spark.read.parquet(f"{folder}/topics").where("run like 'recovery%'").select("log_file", F.col("log_pos").cast("long").alias("log_pos"), "topic")
+
+
 # --- heartbeats and metrics ----------------------------------------------------------------------------------------
 
 

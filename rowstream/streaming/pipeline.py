@@ -154,10 +154,11 @@ class ChangeStream:
         # the window's messages are all published now: the position is that of its last one
         known = self.store.offsets(cluster)
         self._save(messages, statements, known, {})
-        self._resume()
+        self.resume()
         return sum(r["count"] for r in self.spark.read.parquet(self.topics).where(F.col("run") == run).groupBy("topic").count().collect())
 
-    def _resume(self) -> None:
+    def resume(self) -> None:
+        """Take the saved position, if there is one, to go on from."""
         saved = recovery.resume_position(self.store, self.config)
         if saved is not None:
             found = json.loads(saved)
@@ -185,7 +186,7 @@ class ChangeStream:
         saved position; after an unclean stop the recovery window of ``log``, the capture in batch, comes first.
         """
         if not self._open(checkpoint):
-            self._resume()
+            self.resume()
             if self.saved is not None:
                 unclean = recovery.replay_wanted(self.store, self.config.cluster)
                 if unclean and log is not None:

@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from rowstream.__main__ import main
+from rowstream.config import is_set, server_id
 from rowstream.functions import avro
-from rowstream.operators import recovery
+from rowstream.operators import messages, recovery
 from tests.test_streaming import capture, some
 
 
@@ -26,6 +28,23 @@ def test_records():
     json.dumps(avro.changelog_record())
 
 
+def test_load(tmp_path):
+    (tmp_path / "a.avsc").write_text(json.dumps(avro.changelog_record()))
+    (tmp_path / "a.yaml").write_text("type: record\nname: changelog\nfields:\n- {name: id, type: int}\n")
+    (tmp_path / "b.yaml").write_text("- 1")
+    assert avro.load(str(tmp_path / "a.avsc")) == avro.changelog_record()
+    assert avro.load(str(tmp_path / "a.yaml"))["fields"] == [{"name": "id", "type": "int"}]
+    with pytest.raises(ValueError):
+        avro.load(str(tmp_path / "b.yaml"))
+
+
+def test_small_helpers():
+    assert is_set("A", {"A": ""}) and not is_set("A", {})
+    assert all(1 <= server_id() < 1 << 32 for _ in range(100)) and server_id() != server_id()
+    with pytest.raises(TypeError):
+        messages.log_transaction(5, None, None)
+
+
 def test_heartbeat_command(spark, tmp_path, capsys):
     capture(str(tmp_path), "bin.000001", some("bin.000001", 9))
     assert main(["heartbeat", str(tmp_path), "1577836800", "5"]) == 0

@@ -65,3 +65,31 @@ def test_lists_and_errors():
 def test_quoting_round_trip(parts, quote):
     text = ".".join(quote + p.replace(quote, quote * 2) + quote for p in parts)
     assert ddl.parse_identifier(text) == parts
+
+
+REPLAY = [
+    ("CREATE TABLE IF NOT EXISTS `a` (id int(11) unsigned NOT NULL AUTO_INCREMENT, name varchar(64), s set('x','y,z') DEFAULT 'x', PRIMARY KEY (`id`), KEY k (name)) ENGINE=InnoDB", [("shop", "a")], ["id int(11) unsigned", "name varchar(64)", "s set('x','y,z')"]),
+    ("ALTER TABLE a ADD COLUMN b datetime(6) AFTER id, DROP COLUMN name, MODIFY s time FIRST, ADD INDEX i (b)", [("shop", "a")], ["s time", "id int(11) unsigned", "b datetime(6)"]),
+    ("RENAME TABLE a TO c, shop.zz TO q", [("shop", "c"), ("shop", "q")], ["s time", "id int(11) unsigned", "b datetime(6)"]),
+    ("alter table c change b bb timestamp, rename to other.d, add (x int, y decimal(10,2))", [("other", "d")], ["s time", "id int(11) unsigned", "bb timestamp", "x int", "y decimal(10,2)"]),
+    ("CREATE TABLE e LIKE other.d", [("shop", "e")], ["s time", "id int(11) unsigned", "bb timestamp", "x int", "y decimal(10,2)"]),
+    ("ALTER TABLE e RENAME COLUMN id TO key_id, DROP y", [("shop", "e")], ["s time", "key_id int(11) unsigned", "bb timestamp", "x int"]),
+    ("ALTER TABLE e DROP PRIMARY KEY, ADD PRIMARY KEY (x, bb)", [("shop", "e")], ["s time", "key_id int(11) unsigned", "bb timestamp", "x int"]),
+    ("CREATE TABLE bad 'x", [], None),
+    ("CREATE INDEX i ON e (x)", [], None),
+    ("DROP TABLE IF EXISTS e, other.d", [("shop", "e"), ("other", "d")], None),
+]
+
+
+def test_replay():
+    from rowstream.functions.replay import apply
+
+    tables: dict = {}
+    keys = []
+    for query, changed, columns in REPLAY:
+        assert apply(tables, "shop", query) == changed, query
+        if columns is not None:
+            assert [f"{c} {t}" for c, t in tables[changed[0]].columns.items()] == columns, query
+            keys.append(tables[changed[0]].key)
+    assert keys == [["id"]] * 5 + [["key_id"], ["x", "bb"]] and set(tables) == {("shop", "q")}
+    assert apply(tables, None, "DROP DATABASE shop") == [] and not tables
