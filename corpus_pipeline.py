@@ -3,7 +3,14 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's ``docs``. All but the last return the columns of ``docs``; each works on every
 row its predecessor kept, and what it drops or rewrites stays so. SQL can't express the model, the signatures or the
-keyed permutations, so the pipeline is tested against a plain version instead.
+keyed permutations, so the stages are tested against plain versions, and ``run`` against the stages one by one.
+
+Defined results: rows without text or words have no mark of low quality, are no duplicates, hold no benchmark passage
+and no personal data, and the mixture takes none of them. Rows that repeat id and text count as one from the
+near-duplicates on; rows that repeat only the id are judged each by its own text; a row without an id is a row like
+others, and of a group of duplicates it stays only if none has an id. Columns of any other names go through unchanged,
+but for ``copies`` and ``taken``, which the last stage sets. Empty tables give empty results; without ratings no row is
+rejected.
 """
 
 from __future__ import annotations
