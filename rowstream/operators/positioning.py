@@ -1,7 +1,7 @@
 """Replay positions: the last marker at or before an event, and how many events came since.
 
 The order is total, but no task sees all of it: a log file is one segment. Windows run within a file; what a file
-carries over (its last marker and the events since) is one row per file, scanned in file order and joined back.
+carries over (its last marker and the events since) is one row per file, counted apart, scanned in file order and joined.
 """
 
 from __future__ import annotations
@@ -47,11 +47,14 @@ def assign_positions(events: DataFrame, config: StreamConfig, order: tuple[str,
     marked = marked.withColumn("__last", F.last("__marker", ignorenulls=True).over(so_far))
     marked = marked.withColumn("__nth", F.row_number().over(Window.partitionBy(segment, "__epoch").orderBy(*order)).cast("long"))
 
-    # one row per segment: its last marker, and the events after it (all of them, if it has none)
-    end = F.max_by(F.struct("__last", "__epoch", "__nth"), F.struct(*order)).alias("end")
-    tail = F.col("end.__nth") - F.when(F.col("end.__epoch") > 0, 1).otherwise(0)
-    files = marked.groupBy(F.col(segment).alias("__segment")).agg(end)
-    files = files.select("__segment", F.col("end.__last").alias("own"), F.col("end.__epoch").alias("markers"), tail.alias("tail"))
+    # one row per segment: its last marker, and how many events follow it (all, if it has none); two scans of few
+    # columns that are counted before any shuffle, so that the events themselves are brought in order once
+    key = F.struct(*order)
+    marks = events.where(is_marker(config)).select(F.col(segment).alias("__segment"), marker_position(config).alias("__own"), key.alias("__at"))
+    ends = marks.groupBy("__segment").agg(F.max_by("__own", "__at").alias("own"), F.max("__at").alias("__at"))
+    after = F.when(F.col("__at").isNull() | (key > F.col("__at")), 1)
+    tails = events.join(ends, F.col(segment) == F.col("__segment"), "left").groupBy(F.col(segment).alias("__file")).agg(F.count(after).alias("tail"))
+    files = tails.join(ends, F.col("__file") == F.col("__segment"), "left").select(F.col("__file").alias("__segment"), "own", F.when(F.col("own").isNotNull(), 1).otherwise(0).alias("markers"), "tail")
     in_order = Window.orderBy("__segment")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("__group", F.count(F.when(F.col("markers") > 0, 1)).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
