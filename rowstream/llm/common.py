@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -14,8 +15,8 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 #: Most rows of narrow keys that are sent to every executor; more keys are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Most rows of an Arrow batch while tables are written: texts are long, and batches are held by the JVM and by Python.
-BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: Most bytes of an Arrow batch: texts are long, and the JVM and Python hold whole batches.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes in this session, unless it sets a bound of its own."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 class Tables:
     """Tables of one run, as Parquet in the shared folder: they cut lineage, and outlast any executor."""
 
@@ -46,21 +53,19 @@ class Tables:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{len(self.made)}-{name}"
         self.made.append(path)
-        rows = self.spark.conf.get(BATCH_SETTING, None)
-        self.spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(BATCH_SETTING, rows) if rows else self.spark.conf.unset(BATCH_SETTING)
+        df.write.parquet(path)
         return self.spark.read.parquet(path)
 
-    def drop(self, *keep: DataFrame) -> None:
-        """Delete all tables but those that the given frames read."""
+    def free(self, *keep: DataFrame) -> None:
+        """Delete all tables but those that the given frames read, and the shuffle files of finished jobs, which Spark
+        lets go when the driver collects its garbage."""
         used = [f for df in keep for f in df.inputFiles()]
         for path in self.made:
             if not any(f"{path.removeprefix('file:').lstrip('/')}/" in f for f in used):
                 folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
         self.made = [p for p in self.made if any(f"{p.removeprefix('file:').lstrip('/')}/" in f for f in used)]
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 from rowstream.llm import textscan
+from rowstream.llm.common import small_batches
 
 Q = 10
 BUDGET = 0.08
@@ -53,10 +54,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: its small letter (where that is one code point), and whether it is a letter or digit."""
     global _lower, _word
     if _lower is None:
-        chars = [chr(i) for i in range(0x110000)]
-        small = (c.lower() for c in chars)
+        small = (chr(i).lower() for i in range(0x110000))
         _lower = np.fromiter((ord(s) if len(s) == 1 else i for i, s in enumerate(small)), np.uint32, 0x110000)
-        _word = np.fromiter((c.isalnum() for c in chars), bool, 0x110000)
+        _word = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
     return _lower, _word
 
 
@@ -253,6 +253,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, q: int = Q, budget: float
     """``docs`` with ``out``: the verified passages, as code point spans of the text. A column of that name is replaced."""
     if not 0 <= budget < 1 or q < 1:
         raise ValueError("the budget is a share below 1, and q is 1 or more")
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != out]
     docs = docs.select(*names)
     first = True

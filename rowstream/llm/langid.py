@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowstream.llm import textscan
+from rowstream.llm.common import small_batches
 
 SIZES = (2, 3, 4)
 SLOT_BITS = 20
@@ -142,6 +143,7 @@ class Filter:
 
 def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text", max_train_rows: int = MAX_TRAIN_ROWS, id_col: str = "doc_id") -> Filter:
     """Learn a filter from labelled rows; rows without a language or a text are passed over."""
+    small_batches(train.sparkSession)
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = rows.count()
     if n > max_train_rows:
@@ -169,6 +171,7 @@ def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text", max_
 
 def identify(docs: DataFrame, learned: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

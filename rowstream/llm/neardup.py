@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowstream.llm import textscan
-from rowstream.llm.common import BROADCAST_ROWS, WORD, Tables, semi
+from rowstream.llm.common import BROADCAST_ROWS, WORD, Tables, semi, small_batches
 from rowstream.llm.graph import components, joined
 
 BANDS, ROWS = 32, 4
@@ -274,6 +274,7 @@ def _rest(tables: Tables, placed: DataFrame, sets: DataFrame, percent: int) -> D
 def _components(tables: Tables, texts: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
     """``texts`` (id, h, text) to one row for each, as written: id, h, n, rep (the least id of its class), label (of its
     component), row (a number of its own)."""
+    small_batches(texts.sparkSession)
     scanned = texts.mapInArrow(_scan(k, bands, rows), "id long, h long, n long, a long, b long, keys array<long>")
     scanned = tables.write(scanned.withColumn("row", F.monotonically_increasing_id()), "shingles")
     same = ["n", "a", "b"]
@@ -311,7 +312,7 @@ def _components(tables: Tables, texts: DataFrame, k: int, percent: int, bands: i
             found = joined(tables, found, links)
     filed = scanned.select("row", "id", "h", *same).join(classes, same, "left").join(found, "node", "left")
     filed = tables.write(filed.select("row", "id", "h", "n", "rep", F.coalesce("component", "node", F.col("row")).alias("label")), "filed")
-    tables.drop(filed)
+    tables.free(filed)
     return filed
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from rowstream.llm import textscan
+from rowstream.llm.common import small_batches
 
 BITS = 18
 MAX_TRAIN_ROWS = 12_000
@@ -153,6 +154,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_train_rows: int = MAX_TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model | int:
     """Fit on the rated rows of ``docs``; ``ratings``: doc_id, grade. Returns the only grade if there is just one."""
+    small_batches(docs.sparkSession)
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, grades - 1)).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     n = rated.count()
     if n > max_train_rows:
@@ -170,6 +172,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_train_rows: in
 
 def score(docs: DataFrame, model: Model | int, grades: int = 3, text_col: str = "text", out: tuple[str, str] = ("expected_grade", "tail_prob")) -> DataFrame:
     """``docs`` with the expected grade (0 to G-1) and the chance of the highest grade; columns named ``out`` are replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in out]
     kept = docs.select(*names)

@@ -7,11 +7,17 @@ at most ``SLICE_BYTES`` of text or one text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+# Large freed arrays go back to the system at once; Spark keeps idle workers, which else would hold on to them.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 8 << 20)  # the threshold above which the C library maps memory
+
 SLICE_BYTES = 1 << 19
 
 _ROOT = 0x9E3779B97F4A7C15

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowstream.llm.common import small_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's published splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -102,6 +104,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, rule: str = "sta
         content = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(content) > MAX_VOCABULARY_BYTES:
         raise ValueError("the vocabulary is too large to be sent to every executor")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
