@@ -300,6 +300,42 @@ def test_op5_chains_and_groups(spark, k):
     assert got == plain_components(texts, k)
 
 
+def test_op5_texts_of_one_template_just_under_the_limit(spark):
+    """Likeness of two texts is just under 0.8, of some over it: large mixed buckets with few links."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = {}
+    for i in range(220):
+        words = list(base)
+        for j in rng.sample(range(300), 6):
+            words[j] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = plain_components(texts)
+    assert got == want and 150 < len({c for _, c in want.values()}) < 220
+
+
+def test_op5_repeated_and_missing_ids(spark):
+    rng = random.Random(7)
+    base = {c: [f"{c}{rng.randrange(10**6)}" for _ in range(60)] for c in "ABCDE"}
+
+    def text(c, edited=False):
+        words = list(base[c])
+        if edited:
+            words[rng.randrange(5, 55)] = f"x{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    a, b, d = text("A"), text("B"), text("D")
+    rows = [(1, a), (1, b), (2, text("A", True)), (None, text("B", True)), (None, text("B", True)), (3, a), (3, a), (None, text("C")), (None, text("C", True)), (4, d), (4, d), (5, text("E")), (None, ""), (None, ""), (6, None), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("h", F.lit("clash"))
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == {(1, 57, 1, True): 2, (2, 57, 1, False): 1, (None, 57, 1, False): 2, (3, 57, 1, False): 2, (None, 57, None, True): 2, (4, 57, 4, True): 2, (5, 57, 5, True): 1, (None, 0, None, True): 2, (6, 0, 6, True): 2}
+    kept = neardup.drop_near_duplicates(docs, k=4)
+    assert kept.columns == docs.columns and kept.where("row <> 'clash' or h <> 'clash'").count() == 0
+    left = collections.Counter((r.doc_id, (r.text or "")[:1]) for r in kept.collect())
+    assert left == {(1, "A"): 1, (1, "B"): 1, (None, "C"): 1, (4, "D"): 1, (5, "E"): 1, (None, ""): 2, (6, ""): 2}
+
+
 def test_op5_links_in_mixed_buckets(spark):
     rng = random.Random(5)
     form = [f"f{i}" for i in range(103)]
