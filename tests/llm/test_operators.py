@@ -598,6 +598,19 @@ def test_op9_lines_that_stand_singly_before(spark):
     assert {(r.doc_id, r.source_doc_id) for r in got} == {(i * 10 + 8, i * 10 + 7) for i in range(whole)}
 
 
+def test_op9_parts_of_a_chain_that_is_not_alike(spark):
+    rng = random.Random(4)
+    own = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    one, two = own(60), own(60)
+    rows = [(1, " ".join(one + own(22) + two)), (2, " ".join(own(5) + one + own(22) + two)), (3, " ".join(own(9) + one + own(9) + two))]
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.equal_words) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [r for r in got if r[0] == 2] in ([(2, 5, 147, 120)], [(2, 5, 65, 60), (2, 87, 147, 60)])
+    x = np.array([0, 30, 90, 120])
+    u, v = np.arange(200), np.arange(200)
+    v[35:90] = -1  # two runs of equal words with 55 others between
+    assert sorted(p[:2] for p in passages.passages_of(x, x, u, v, 5, 30, 0.8)) == [(0, 35), (90, 200)]
+
+
 def test_op9_recall_of_edited_passages(spark):
     """Shares found of passages of 60 words that brute force finds (equal words by place), by chance of a replaced word."""
     rng = random.Random(8)
