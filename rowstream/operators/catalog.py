@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowstream.config import StreamConfig
@@ -33,15 +33,22 @@ def table_exists(catalog: DataFrame, db: str, tbl: str) -> bool:
     return not catalog.where((F.col("db") == db) & (F.col("tbl") == tbl)).limit(1).isEmpty()
 
 
+def create_statement(tbl: Column, column_types: Column, primary_key: Column) -> Column:
+    """The statement that makes a table, with its columns in the map's order; null for a table that is gone."""
+    quoted = lambda name: F.concat(F.lit("`"), name, F.lit("`"))
+    entries = F.transform(F.map_entries(column_types), lambda e: F.concat(quoted(e["key"]), F.lit(" "), e["value"]))
+    key = F.concat(F.lit("PRIMARY KEY ("), F.array_join(F.transform(primary_key, quoted), ", "), F.lit(")"))
+    parts = F.when(F.size(primary_key) > 0, F.concat(entries, F.array(key))).otherwise(entries)
+    return F.concat(F.lit("CREATE TABLE "), quoted(tbl), F.lit(" ("), F.array_join(parts, ", "), F.lit(")"))
+
+
 def create_statements(columns: DataFrame) -> DataFrame:
-    """db, tbl and the statement that makes the table, with its columns in order and its primary key."""
+    """db, tbl and the statement that makes the table."""
     ordered = F.array_sort(F.collect_list(F.struct("ordinal_position", "column_name", "column_type", "column_key")))
     tables = columns.groupBy("db", "tbl").agg(ordered.alias("cols"))
-    quoted = lambda c: F.concat(F.lit("`"), c["column_name"], F.lit("`"))
-    entries = F.transform("cols", lambda c: F.concat(quoted(c), F.lit(" "), c["column_type"]))
-    key = F.transform(F.filter("cols", lambda c: c["column_key"] == "PRI"), quoted)
-    key = F.when(F.size(key) > 0, F.array(F.concat(F.lit("PRIMARY KEY ("), F.array_join(key, ", "), F.lit(")")))).otherwise(F.array().cast("array<string>"))
-    return tables.select("db", "tbl", F.concat(F.lit("CREATE TABLE `"), F.col("tbl"), F.lit("` ("), F.array_join(F.concat(entries, key), ", "), F.lit(")")).alias("query"))
+    types = F.map_from_entries(F.transform("cols", lambda c: F.struct(c["column_name"], c["column_type"])))
+    key = F.transform(F.filter("cols", lambda c: c["column_key"] == "PRI"), lambda c: c["column_name"])
+    return tables.select("db", "tbl", create_statement(F.col("tbl"), types, key).alias("query"))
 
 
 def show_create(tables: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -147,13 +154,16 @@ def with_definition(events: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def register(versions: DataFrame, config: StreamConfig) -> DataFrame:
-    """Registry entries: namespace, source, schema id, and whether old and altering statements belong to them. A dry run
-    gives every table the id 1."""
+    """Registry entries: namespace, source, schema id and the statement that makes the table; for an ALTER also that
+    statement and the one that made the table before. A dry run gives every table the id 1."""
     previous = Window.partitionBy("db", "tbl").orderBy("from_file", "from_pos")
-    return versions.select(
+    made = versions.withColumn("new_statement", create_statement(F.col("tbl"), F.col("column_types"), F.col("primary_key")))
+    alters = F.col("ddl_kind") == "alter_table"
+    return made.select(
         F.concat_ws(".", F.lit(config.environment), F.lit(config.logical_cluster), "db").alias("namespace"),
         F.col("tbl").alias("source"),
         (F.lit(1) if config.register_dry_run else F.col("schema_id")).alias("schema_id"),
-        F.when(F.col("ddl_kind") == "alter_table", F.lag("query").over(previous)).alias("old_statement"),
-        F.when(F.col("ddl_kind") == "alter_table", F.col("query")).alias("alter_statement"),
+        "new_statement",
+        F.when(alters, F.lag("new_statement").over(previous)).alias("old_statement"),
+        F.when(alters, F.col("query")).alias("alter_statement"),
     )

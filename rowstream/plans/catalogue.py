@@ -467,10 +467,16 @@ def typed_payload(spark, sf_dir):
     return m.select("seq", "keys", part("payload_data", "at").alias("at"), part("payload_data", "tags").alias("tags"), part("previous_payload_data", "took").alias("previous_took"))
 
 
-@query(f"WITH {SIM} {_VERSIONS_SQL} SELECT 'main.source.shop' AS namespace, tbl AS source, schema_id::INT AS schema_id, ddl_kind = 'alter_table' AS is_alter FROM v")
+@query(
+    f"""WITH RECURSIVE {SIM} {_REPLAY_SQL},
+made AS (SELECT d.*, s.query, row_number() OVER w AS schema_id, 'CREATE TABLE `' || d.tbl || '` (' || replace(regexp_replace(columns, '(^|,)([a-z0-9]+) ', '\\1`\\2` ', 'g'), ',`', ', `')
+    || CASE WHEN contains(columns, 'id int') THEN ', PRIMARY KEY (`id`)' ELSE '' END || ')' AS new_statement
+  FROM defs d JOIN sim s ON s.seq = d.seq WINDOW w AS (PARTITION BY d.tbl ORDER BY d.seq))
+SELECT 'main.source.shop' AS namespace, tbl AS source, schema_id::INT AS schema_id, new_statement, CASE WHEN starts_with(query, 'ALTER') THEN query END AS alter_statement,
+  CASE WHEN starts_with(query, 'ALTER') THEN lag(new_statement) OVER (PARTITION BY tbl ORDER BY seq) END AS old_statement FROM made"""
+)
 def schema_registration(spark, sf_dir):
-    entries = catalog.register(catalog.schema_versions(change_log(spark, sf_dir), CONFIG), CONFIG)
-    return entries.select("namespace", "source", "schema_id", F.col("alter_statement").isNotNull().alias("is_alter"))
+    return catalog.register(catalog.schema_versions(change_log(spark, sf_dir), CONFIG), CONFIG)
 
 
 @query(
