@@ -682,6 +682,43 @@ def schema_dump_restore(spark, sf_dir):
     return back.select("db", "tbl", F.array_join(pairs, ",").alias("columns"), F.array_join("primary_key", ",").alias("keys"))
 
 
+@query("SELECT * FROM (VALUES ('clean', false, false, false), ('dumped', true, false, true), ('unclean', true, true, false), ('both', true, true, true), ('new', false, false, false)) t(cluster, need, replay, dump)")
+def recovery_decision(spark, sf_dir):
+    """Whether a cluster needs recovery, whether messages are replayed, and whether a dump is restored."""
+    store = state.StateStore(spark, f"{_shared_folder(spark)}/state")
+    for cluster, clean, dumped in (("clean", True, False), ("dumped", True, True), ("unclean", False, False), ("both", False, True)):
+        store.save_position(cluster, '{"gtid":"sid:1"}', {}, 1, clean=clean)
+        store.replace_dump(cluster, "{}")
+        if not dumped:
+            store.delete_dump(cluster)
+    rows = [(c, recovery.need_recovery(store, c), recovery.replay_wanted(store, c), store.dump_exists(c)) for c in ("clean", "dumped", "unclean", "both", "new")]
+    return spark.createDataFrame(rows, "cluster string, need boolean, replay boolean, dump boolean")
+
+
+@query(
+    f"""WITH {SIM} m AS (SELECT log_file, log_pos FROM sim WHERE db = 'heartbeat' ORDER BY seq DESC LIMIT 1)
+SELECT 'resume' AS mode, '{{"log_file":"' || log_file || '","log_pos":' || log_pos || ',"offset":3}}' AS position FROM m UNION ALL VALUES ('begin', NULL), ('new', NULL)"""
+)
+def resume_position(spark, sf_dir):
+    """Where to go on: the saved position, or the log's begin if resuming is off or nothing was saved."""
+    store = state.StateStore(spark, f"{_shared_folder(spark)}/state")
+    last = change_log(spark, sf_dir).where(positioning.is_marker(CONFIG)).agg(F.max(F.struct("log_file", "log_pos")).alias("at")).select("at.*")
+    place = position.struct_of(log_file=F.col("log_file"), log_pos=F.col("log_pos"), offset=F.lit(3))
+    store.save_position("source", last.select(position.to_saved(place).alias("p")).first()["p"], {}, 1)
+    modes = {"resume": CONFIG, "begin": CONFIG.with_(resume_stream=False), "new": CONFIG.with_(cluster="other")}
+    return spark.createDataFrame([(m, recovery.resume_position(store, c)) for m, c in modes.items()], "mode string, position string")
+
+
+@query(f"WITH {_POSITIONED} SELECT 'main.source.' || db || '.' || base AS topic, count(*) AS messages, min(seq) AS first FROM positioned WHERE kind <> 'query' AND db <> 'mysql' GROUP BY 1")
+def published_topics(spark, sf_dir):
+    """Messages published to topic folders, of which one batch is published twice, and read back."""
+    folder = f"{_shared_folder(spark)}/topics"
+    sent = messages.data_messages(positioned(spark, sf_dir), CONFIG, keep=("seq",))
+    for batch in (0, 1, 1):
+        messages.write_topics(sent.where(F.col("seq") % 2 == batch), folder, batch)
+    return spark.read.parquet(folder).groupBy("topic").agg(F.count("*").alias("messages"), F.min("seq").alias("first"))
+
+
 def _raw(log: DataFrame) -> DataFrame:
     """The log as it is captured, with a row of images for each row event."""
     beat = F.to_json(F.struct(F.col("hb_serial").alias("serial"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp")))
