@@ -49,9 +49,11 @@ class Tables:
     def __init__(self, spark: SparkSession, run: str) -> None:
         self.spark, self.base = spark, f"{checkpoint_dir(spark)}/{run}-{uuid.uuid4().hex}"
         self.made: list[str] = []
+        self.count = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{len(self.made)}-{name}"
+        self.count += 1
+        path = f"{self.base}/{self.count}-{name}"
         self.made.append(path)
         df.write.parquet(path)
         return self.spark.read.parquet(path)
@@ -59,14 +61,14 @@ class Tables:
     def free(self, *keep: DataFrame) -> None:
         """Delete all tables but those that the given frames read, and the shuffle files of finished jobs, which Spark
         lets go when the driver collects its garbage."""
-        used = [f for df in keep for f in df.inputFiles()]
-        for path in self.made:
-            if not any(f"{path.removeprefix('file:').lstrip('/')}/" in f for f in used):
+        used = {tuple(f.split("/")[-3:-1]) for df in keep for f in df.inputFiles()}
+        for path in list(self.made):
+            if tuple(path.split("/")[-2:]) not in used:
                 folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+                self.made.remove(path)
         gc.collect()
         self.spark._jvm.System.gc()
-        self.made = [p for p in self.made if any(f"{p.removeprefix('file:').lstrip('/')}/" in f for f in used)]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

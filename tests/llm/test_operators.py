@@ -696,3 +696,15 @@ def test_scan_does_not_depend_on_the_batch():
             h = textscan.Prefix(p.data).ranges(s, e)
             out += [h[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
         assert out == alone
+
+
+def test_tables_that_are_read_outlast_the_others(spark):
+    from rowstream.llm.common import Tables
+
+    tables = Tables(spark, "a run")
+    first, second = tables.write(spark.range(5), "x"), tables.write(spark.range(6), "x")
+    tables.free(second)
+    third = tables.write(spark.range(7), "x")
+    assert (second.count(), third.count()) == (6, 7) and len(tables.made) == 2
+    with pytest.raises(Exception, match="(?i)not exist"):
+        first.count()
