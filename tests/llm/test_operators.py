@@ -701,7 +701,7 @@ def test_scan_does_not_depend_on_the_batch():
 def test_tables_that_are_read_outlast_the_others(spark):
     from rowstream.llm.common import Tables
 
-    tables = Tables(spark, "a run")
+    tables = Tables(spark, "run")
     first, second = tables.write(spark.range(5), "x"), tables.write(spark.range(6), "x")
     tables.free(second)
     third = tables.write(spark.range(7), "x")
