@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowstream.config import StreamConfig
-from rowstream.functions.ddl import parse
+from rowstream.functions.ddl import ddl_renames
 from rowstream.functions.replay import Table, apply
 from rowstream.functions.types import is_transformed, transform_map
 from rowstream.operators.filters import drop_blacklisted, resolved_db, schema_events
@@ -92,10 +92,10 @@ def schema_versions(events: DataFrame, config: StreamConfig, base: DataFrame | N
     names = "db string, tbl string, log_file string, log_pos long, ddl_kind string, query string, column_types map<string,string>, primary_key array<string>"
     rows = ddl.select(
         resolved_db(F.col("db"), F.col("query")).alias("db"), F.lit(None).cast("string").alias("tbl"), "log_file", F.col("log_pos").cast("long").alias("log_pos"), "ddl_kind", "query",
-        F.lit(None).cast("map<string,string>").alias("column_types"), F.lit(None).cast("array<string>").alias("primary_key"),
+        F.lit(None).cast("map<string,string>").alias("column_types"), F.lit(None).cast("array<string>").alias("primary_key"), ddl_renames(F.col("query")).alias("renames"),
     )
     if base is not None:
-        first = base.select("db", "tbl", F.lit("").alias("log_file"), F.lit(-1).cast("long").alias("log_pos"), F.lit("base").alias("ddl_kind"), F.lit(None).cast("string").alias("query"), "column_types", "primary_key")
+        first = base.select("db", "tbl", F.lit("").alias("log_file"), F.lit(-1).cast("long").alias("log_pos"), F.lit("base").alias("ddl_kind"), F.lit(None).cast("string").alias("query"), "column_types", "primary_key", F.lit(False).alias("renames"))
         rows = first.unionByName(rows)
     schema = names.replace("log_file", "from_file").replace("log_pos", "from_pos") + ", schema_id int, renames boolean"
     ordered = rows.repartition(1).sortWithinPartitions("log_file", "log_pos", "db", "tbl")
@@ -115,13 +115,13 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["query"] is None:
                 name = (r["db"], r["tbl"])
                 tables[name] = Table(dict(r["column_types"] or []), list(r["primary_key"] or []))
-                changed, renames = [name], False
+                changed = [name]
             else:
-                changed, renames = apply(tables, r["db"], r["query"]), parse(r["query"]).renames
+                changed = apply(tables, r["db"], r["query"])
             for name in changed:
                 ids[name] = ids.get(name, 0) + 1
                 table = tables.get(name)
-                out.append((*name, r["log_file"], r["log_pos"], r["ddl_kind"], r["query"], list(table.columns.items()) if table else None, table.key if table else None, ids[name], renames))
+                out.append((*name, r["log_file"], r["log_pos"], r["ddl_kind"], r["query"], list(table.columns.items()) if table else None, table.key if table else None, ids[name], r["renames"]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -129,23 +129,25 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_schema_version(events: DataFrame, versions: DataFrame) -> DataFrame:
     """Each event with the last version of its table before it; null before the first.
 
-    One pass: versions and events of a table stand in one order, and each event takes the last version seen. Tables are
-    dealt with their log file, so that a busy table's events aren't one task; what a file begins with is joined in.
+    Versions and events of a table stand in one order within a log file, and each event takes the last version seen; so
+    a busy table's events aren't one task. What a table has reached before a file is one row per table and file, counted
+    before any shuffle, and joined by equal keys.
     """
-    key = ["db", "tbl"]
+    key = ["db", "tbl", "log_file"]
     both = events.withColumn("__v", F.lit(None).cast("int")).unionByName(
-        versions.select(*key, F.col("from_file").alias("log_file"), F.col("from_pos").alias("log_pos"), F.lit(-1).alias("row_idx"), F.col("schema_id").alias("__v"), F.lit(True).alias("__is")),
+        versions.select("db", "tbl", F.col("from_file").alias("log_file"), F.col("from_pos").alias("log_pos"), F.lit(-1).alias("row_idx"), F.col("schema_id").alias("__v"), F.lit(True).alias("__is")),
         allowMissingColumns=True,
     )
-    within = Window.partitionBy(*key, "log_file").orderBy("log_pos", "row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*key).orderBy("log_pos", "row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("__seen", F.last("__v", ignorenulls=True).over(within))
-    # what a table has reached at the end of each file that changes it
-    steps = versions.groupBy(*key, F.col("from_file").alias("__file")).agg(F.max_by("schema_id", "from_pos").alias("__end"))
-    spans = steps.withColumn("__next", F.lead("__file").over(Window.partitionBy(*key).orderBy("__file")))
-    spans = spans.select(F.col("db").alias("__db"), F.col("tbl").alias("__tbl"), "__file", "__next", "__end")
-    rows = seen.where(F.col("__is").isNull())
-    carried = (F.col("db") == F.col("__db")) & (F.col("tbl") == F.col("__tbl")) & (F.col("log_file") > F.col("__file")) & (F.col("__next").isNull() | (F.col("log_file") <= F.col("__next")))
-    return rows.join(spans, carried, "left").withColumn("schema_id", F.coalesce("__seen", "__end")).drop("__v", "__is", "__seen", "__db", "__tbl", "__file", "__next", "__end")
+    # ids rise along the log, so a file's greatest is its last
+    ends = both.groupBy(*key).agg(F.max("__v").alias("__end"))
+    before = Window.partitionBy("db", "tbl").orderBy("log_file").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("__came", F.max("__end").over(before)).where("__came is not null")
+    carried = carried.select(*[F.col(c).alias(f"__{c}") for c in key], "__came")
+    same = (F.col("db") == F.col("__db")) & (F.col("tbl") == F.col("__tbl")) & (F.col("log_file") == F.col("__log_file"))
+    rows = seen.where(F.col("__is").isNull()).join(carried, same, "left")
+    return rows.withColumn("schema_id", F.coalesce("__seen", "__came")).drop("__v", "__is", "__seen", "__db", "__tbl", "__log_file", "__came")
 
 
 def with_definition(events: DataFrame, versions: DataFrame) -> DataFrame:
