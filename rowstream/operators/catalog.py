@@ -99,7 +99,8 @@ def schema_versions(events: DataFrame, config: StreamConfig, base: DataFrame | N
         rows = first.unionByName(rows)
     schema = names.replace("log_file", "from_file").replace("log_pos", "from_pos") + ", schema_id int, renames boolean"
     ordered = rows.repartition(1).sortWithinPartitions("log_file", "log_pos", "db", "tbl")
-    return ordered.mapInArrow(_replay, schema).select("db", "tbl", "schema_id", "from_file", "from_pos", "ddl_kind", "renames", "query", "column_types", "primary_key")
+    made = ordered.mapInArrow(_replay, schema).select("db", "tbl", "schema_id", "from_file", "from_pos", "ddl_kind", "renames", "query", "column_types", "primary_key")
+    return made.repartition("db", "tbl")  # an exchange that plans which read versions twice can share
 
 
 def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
