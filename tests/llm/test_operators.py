@@ -629,6 +629,43 @@ def test_op9_recall_of_edited_passages(spark):
     assert share[0.0] == 1 and share[0.05] >= 0.95 and share[0.1] >= 0.75 and share[0.15] >= 0.5 and got <= set().union(*due.values()) | {(i + 1, i) for i in range(0, len(rows), 2)}
 
 
+def spoiled(words, places, name):
+    return [f"{name}{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_op9_finds_what_is_just_within_the_limit(spark):
+    """50 words with every fifth changed; and texts alike to the one before but not to the first that holds their seeds."""
+    rng = random.Random(21)
+    own = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows, due = [], set()
+    for i in range(0, 400, 10):
+        passage = own(50)
+        rows += [(i + 1, " ".join(own(40) + passage + own(40))), (i + 2, " ".join(own(40) + spoiled(passage, range(4, 50, 5), "x") + own(40)))]
+        due.add((i + 2, i + 1))
+    for i in range(400, 600, 10):
+        passage = own(60)
+        one, other = spoiled(passage, range(3, 59, 7), "x"), spoiled(passage, range(6, 59, 7), "y")
+        rows += [(i + j, " ".join(own(40) + text + own(40))) for j, text in enumerate((one, passage, other))]
+        due |= {(i + 1, i), (i + 2, i + 1)}
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in got} == due
+    assert all(r.equal_words >= 0.8 * max(r.end_word - r.start_word, r.source_end - r.source_start) for r in got)
+
+
+def test_op9_frequent_lines_beside_what_two_share(spark):
+    rng = random.Random(22)
+    own = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    line, long_line = own(12), own(30)
+    rows, due = [], set()
+    for i in range(0, 2 * passages.FREQUENT, 2):
+        common, extra = (line, 45) if i % 4 else (long_line, 25)
+        passage = own(extra)
+        rows += [(i, " ".join(own(60) + common + passage + own(60))), (i + 1, " ".join(own(60) + common + spoiled(passage, range(4, extra, 5), "x") + own(60)))]
+        due.add((i + 1, i))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in got} == due
+
+
 def plain_chains(x, y, k, cost):
     n = len(x)
     score = [k] * n
