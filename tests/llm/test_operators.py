@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -666,6 +667,30 @@ def test_op9_frequent_lines_beside_what_two_share(spark):
     assert {(r.doc_id, r.source_doc_id) for r in got} == due
 
 
+def test_op9_parts_of_the_second_join_make_the_whole(spark, monkeypatch):
+    rng = random.Random(6)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    lines, rows = [own(20) for _ in range(3)], []
+    rows += [(i, " ".join(own(30) + line + own(30))) for i, line in enumerate(lines)]
+    rows += [(3 + i, " ".join(own(30) + sum(lines, []) + own(30))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, passages.repeated_passages(df).collect()))
+    monkeypatch.setattr(passages, "MEETINGS", 200)
+    assert {(a, b) for a, _, _, b, *_ in whole} >= {(i, j) for i in range(4, 15) for j in range(3, i)}
+    assert sorted(map(tuple, passages.repeated_passages(df).collect())) == whole
+
+
+def test_op9_words_in_common_near_a_chain():
+    spans = lambda *words: pa.array([list(w) for w in words], pa.list_(pa.int32()))
+    run, other = [7] * 26, list(range(100, 200))
+    u, v = [run + other, run + other[:14]], [run + [n + 900 for n in other], run + other[13::-1]]
+    chain = spans(*[range(24)] * 2)
+    low = pa.array([0, 0], pa.int32())
+    ids = pa.array([1, 2], pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, low, low, chain, chain, spans(*u), spans(*v)], list("abcdefgh"))
+    assert passages.worth(batch, 3, 50, 0.8).tolist() == [1]
+
+
 def plain_chains(x, y, k, cost):
     n = len(x)
     score = [k] * n
